@@ -10,8 +10,8 @@ from pyspark.sql import Column, functions as F
 
 from tallywise.fixed_values import MONEY_TYPE
 
-# Splits a double into two halves whose products are exact (2**27 + 1).
-_SPLITTER = 134217729.0
+# Doubles from here on have no fractional part left to round.
+_WHOLE_FROM = 1e15
 
 
 def as_column(c: Column | str) -> Column:
@@ -60,42 +60,35 @@ def round_to(c: Column | str, places: int = 2) -> Column:
     return F.rint(as_column(c) * scale) / scale
 
 
-def round_decimal_text(c: Column | str, places: int) -> Column:
-    """Correctly rounded decimal places of the stored binary value.
+def _printed(c: Column, places: int) -> Column:
+    """Number with grouped thousands, rounded by its exact binary value, halves to even."""
+    return F.format_number(c, places)
 
-    ``round_to`` multiplies first, and that product may land on a half it did
-    not hold (0.35 * 10 is exactly 3.5, but 0.35 is stored slightly below). Here
-    the rounding error of the product breaks such ties, so the result equals what
-    printing the value with that many places shows.
+
+def round_as_printed(c: Column | str, places: int) -> Column:
+    """The value a number has when it is printed with that many places.
+
+    ``round_to`` multiplies first, and that product may land on a half that the number
+    itself does not hold (0.35 * 10 is exactly 3.5, but 0.35 is stored slightly below).
     """
-    scale = float(10**places)
     x = as_column(c)
-    scaled = x * scale
-    high = x * _SPLITTER - (x * _SPLITTER - x)
-    lost = (high * scale - scaled) + (x - high) * scale
-    nearest = F.rint(scaled)
-    below = F.when(nearest > scaled, nearest - 1).otherwise(nearest)
-    is_half = F.abs(scaled - nearest) == 0.5
-    rounded = (
-        F.when(is_half & (lost > 0), below + 1)
-        .when(is_half & (lost < 0), below)
-        .otherwise(nearest)
-    )
-    return rounded / scale
+    printed = F.replace(_printed(x, places), F.lit(","), F.lit("")).try_cast("double")
+    return F.when(F.abs(x) < _WHOLE_FROM, printed).otherwise(x)
 
 
 def show(c: Column | str, places: int, signed: bool = False, grouped: bool = False) -> Column:
     """Number as text with fixed places; ``n/a`` when it is null."""
-    flags = ("+" if signed else "") + ("," if grouped else "")
-    value = round_decimal_text(as_column(c).cast("double"), places)
-    return F.when(value.isNull(), F.lit("n/a")).otherwise(
-        F.format_string(f"%{flags}.{places}f", value)
-    )
+    value = as_column(c).cast("double")
+    shown = _printed(value, places)
+    if not grouped:
+        shown = F.replace(shown, F.lit(","), F.lit(""))
+    if signed:
+        shown = F.when(F.startswith(shown, F.lit("-")), shown).otherwise(F.concat(F.lit("+"), shown))
+    return F.coalesce(shown, F.lit("n/a"))
 
 
 def show_count(c: Column | str, grouped: bool = False) -> Column:
     """Whole number as text; ``n/a`` when it is null."""
     value = as_column(c).cast("bigint")
-    return F.when(value.isNull(), F.lit("n/a")).otherwise(
-        F.format_string("%,d" if grouped else "%d", value)
-    )
+    shown = F.format_number(value, 0) if grouped else value.cast("string")
+    return F.coalesce(shown, F.lit("n/a"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tallywise.fixed_values import NUMBER_PATTERN, RETURN_FLAG_WORDS
-from tallywise.functions.numbers import as_column, round_decimal_text
+from tallywise.functions.numbers import as_column, round_as_printed
 
 
 def is_true_text(c: Column | str) -> Column:
@@ -45,5 +45,5 @@ def numbers_in(c: Column | str) -> Column:
     tokens = F.regexp_extract_all(as_column(c), F.lit(NUMBER_PATTERN), F.lit(0))
     parsed = F.transform(tokens, lambda t: F.regexp_replace(t, ",", "").try_cast("double"))
     return F.array_distinct(
-        F.transform(F.filter(parsed, lambda n: n.isNotNull()), lambda n: round_decimal_text(n, 1))
+        F.transform(F.filter(parsed, lambda n: n.isNotNull()), lambda n: round_as_printed(n, 1))
     )

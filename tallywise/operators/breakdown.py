@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallywise.fixed_values import DIMENSION_COLUMNS, MANAGER_ROLE
 from tallywise.functions.numbers import money, percent, ratio, round_to, total
 from tallywise.operators.enrich import dimension, sales_with
+from tallywise.operators.summaries import sums_and_distinct
 from tallywise.sources.retail import RetailTables
 
 
@@ -16,8 +17,7 @@ def breakdown_by(
     """Revenue, profit, units, distinct orders and margin per value, best first.
 
     Only the table holding the dimension is joined, and the date filter sits below
-    the join. Orders are counted once per value through a shuffle on (value, order),
-    so a value with most of the rows does not end up in one task.
+    the join.
     """
     if dimension_name not in DIMENSION_COLUMNS:
         raise ValueError(f"Unknown dimension '{dimension_name}'. Options: {list(DIMENSION_COLUMNS)}")
@@ -25,14 +25,14 @@ def breakdown_by(
     sales = sales_with(tables, column)
     if start is not None and end is not None:
         sales = sales.filter(F.col("order_date").between(start, end))
+    sums = [
+        total(money("revenue")).alias("revenue"),
+        total(money("gross_profit")).alias("gross_profit"),
+        F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"),
+    ]
     ranked = (
-        sales.groupBy(F.col(column).alias(dimension_name))
-        .agg(
-            total(money("revenue")).alias("revenue"),
-            total(money("gross_profit")).alias("gross_profit"),
-            F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"),
-            F.count_distinct("order_id").alias("orders"),
-        )
+        sums_and_distinct(sales, [column], sums, {"orders": "order_id"})
+        .withColumnRenamed(column, dimension_name)
         .withColumn(
             "margin_pct",
             F.when(F.col("revenue") > 0, percent("gross_profit", "revenue")).otherwise(0.0),
@@ -49,11 +49,11 @@ def store_team_performance(tables: RetailTables) -> DataFrame:
 
     Sales and staff are both summed per store before anything is joined.
     """
-    sold = tables.sales.groupBy("store_id").agg(
+    sums = [
         total(money("revenue")).alias("revenue"),
         total(money("gross_profit")).alias("gross_profit"),
-        F.count_distinct("order_id").alias("orders"),
-    )
+    ]
+    sold = sums_and_distinct(tables.sales, ["store_id"], sums, {"orders": "order_id"})
     staff = (
         tables.employees.filter(F.col("store_id").isNotNull())
         .groupBy("store_id")
@@ -85,15 +85,14 @@ def store_team_performance(tables: RetailTables) -> DataFrame:
 
 def segment_value(tables: RetailTables) -> DataFrame:
     """Revenue, orders and customers per customer segment, best first."""
+    sums = [
+        total(money("revenue")).alias("revenue"),
+        total(money("gross_profit")).alias("gross_profit"),
+    ]
+    counted = {"orders": "order_id", "customers": "customer_id"}
+    sales = sales_with(tables, "customer_segment")
     return (
-        sales_with(tables, "customer_segment")
-        .groupBy("customer_segment")
-        .agg(
-            total(money("revenue")).alias("revenue"),
-            total(money("gross_profit")).alias("gross_profit"),
-            F.count_distinct("order_id").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
-        )
+        sums_and_distinct(sales, ["customer_segment"], sums, counted)
         .orderBy(F.desc_nulls_last("revenue"), F.asc_nulls_last("customer_segment"))
         .select(
             "customer_segment",

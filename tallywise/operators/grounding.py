@@ -15,7 +15,7 @@ from tallywise.fixed_values import (
     PERCENT_ANCHORS,
     SMALL_WHOLE_NUMBER,
 )
-from tallywise.functions.numbers import round_decimal_text
+from tallywise.functions.numbers import round_as_printed
 from tallywise.functions.texts import numbers_in
 from tallywise.operators.profile import is_date
 
@@ -34,7 +34,7 @@ def numbers_of(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.array(value.cast("double"))
     if isinstance(dtype, T.NumericType):
-        return F.array(round_decimal_text(value.cast("double"), 1))
+        return F.array(round_as_printed(value.cast("double"), 1))
     if isinstance(dtype, T.StringType) or is_date(dtype):
         return F.coalesce(numbers_in(value.cast("string")), F.array().cast(_NUMBERS))
     if isinstance(dtype, T.ArrayType):
@@ -57,7 +57,7 @@ def record_numbers(df: DataFrame, *leave_out: str) -> Column:
 def record_measures(df: DataFrame, *leave_out: str) -> Column:
     """The numbers a record states directly in numeric fields."""
     parts = [
-        round_decimal_text(F.col(f"`{f.name}`").cast("double"), 1)
+        round_as_printed(F.col(f"`{f.name}`").cast("double"), 1)
         for f in df.schema
         if isinstance(f.dataType, T.NumericType) and f.name not in leave_out
     ]

@@ -14,6 +14,7 @@ from tallywise.functions.numbers import (
     round_to,
     total,
 )
+from tallywise.operators.summaries import sums_and_distinct
 from tallywise.sources.retail import RetailTables
 
 _PERIODS = ("latest", "previous")
@@ -23,7 +24,6 @@ def _sales_sums() -> list[Column]:
     return [
         total(money("revenue")).alias("revenue"),
         total(money("gross_profit")).alias("gross_profit"),
-        F.count_distinct("order_id").alias("orders"),
         F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"),
     ]
 
@@ -35,13 +35,15 @@ def date_range(sales: DataFrame, date_col: str = "order_date") -> DataFrame:
 
 def kpi_for_window(tables: RetailTables, start, end, date_col: str = "order_date") -> DataFrame:
     """One row of key figures for start <= date <= end; refunds count by return date."""
-    sold = tables.sales.filter(F.col(date_col).between(start, end)).agg(*_sales_sums())
+    inside = tables.sales.filter(F.col(date_col).between(start, end))
+    sold = inside.agg(*_sales_sums())
+    orders = inside.agg(F.count_distinct("order_id").alias("orders")).scalar()
     refunds = (
         tables.returns.filter(F.col("return_date").between(start, end))
         .agg(total(money("refund_amount")).alias("return_value"))
         .scalar()
     )
-    return sold.withColumn("return_value", refunds).select(
+    return sold.withColumns({"orders": orders, "return_value": refunds}).select(
         round_to("revenue").alias("revenue"),
         round_to("gross_profit").alias("gross_profit"),
         round_to(percent_or_zero("gross_profit", "revenue")).alias("margin_pct"),
@@ -57,8 +59,8 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
     """The last ``window_days`` against the same number of days before; one row.
 
     The anchor (last order date) is a scalar subquery, so both windows come from
-    one scan that only keeps rows inside them. Rows are grouped by period before
-    the two periods are put side by side, which needs one distinct count only.
+    scans that only keep rows inside them. Rows are grouped by period before the two
+    periods are put side by side, so both share one distinct count.
     """
     anchor = tables.sales.agg(F.max(F.to_date("order_date")).alias("last_day")).scalar()
     latest_start = F.date_sub(anchor, window_days - 1)
@@ -70,7 +72,9 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
         period = F.when(day >= latest_start, F.lit("latest")).otherwise(F.lit("previous"))
         return df.filter((day >= previous_start) & (day <= anchor)).withColumn("period", period)
 
-    sold = inside(tables.sales, "order_date").groupBy("period").agg(*_sales_sums())
+    sold = sums_and_distinct(
+        inside(tables.sales, "order_date"), ["period"], _sales_sums(), {"orders": "order_id"}
+    )
     refunded = (
         inside(tables.returns, "return_date")
         .groupBy("period")
@@ -130,14 +134,15 @@ def growth_gap(tables: RetailTables, window_days: int = WINDOW_DAYS) -> DataFram
 
 def monthly_trend(tables: RetailTables) -> DataFrame:
     """Revenue, profit, orders and margin by month, oldest first."""
+    sales = tables.sales.filter(F.col("order_date").isNotNull()).withColumn(
+        "month", F.to_date(F.date_trunc("month", "order_date"))
+    )
+    sums = [
+        total(money("revenue")).alias("revenue"),
+        total(money("gross_profit")).alias("gross_profit"),
+    ]
     return (
-        tables.sales.filter(F.col("order_date").isNotNull())
-        .groupBy(F.to_date(F.date_trunc("month", "order_date")).alias("month"))
-        .agg(
-            total(money("revenue")).alias("revenue"),
-            total(money("gross_profit")).alias("gross_profit"),
-            F.count_distinct("order_id").alias("orders"),
-        )
+        sums_and_distinct(sales, ["month"], sums, {"orders": "order_id"})
         .select(
             "month",
             round_to("revenue").alias("revenue"),

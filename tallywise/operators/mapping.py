@@ -18,7 +18,7 @@ from tallywise.fixed_values import (
     RETURN_FLAG_MAX_DISTINCT,
 )
 from tallywise.functions.dates import parse_date
-from tallywise.operators.profile import column_profile, is_date, present
+from tallywise.operators.profile import datelike_texts, is_date, is_numeric, present, union_all
 
 Mapping = dict[str, str | None]
 
@@ -32,10 +32,31 @@ class ColumnFacts:
     is_datelike: bool
 
 
-def column_facts(df: DataFrame) -> list[ColumnFacts]:
-    """Name, numeric? and date-like? of every column; one row per column is fetched."""
-    rows = column_profile(df, distinct=None).select("column_name", "is_numeric", "is_datelike")
-    return [ColumnFacts(r.column_name, r.is_numeric, r.is_datelike) for r in rows.collect()]
+def column_facts(tables: dict[str, DataFrame]) -> dict[str, list[ColumnFacts]]:
+    """Name, numeric? and date-like? of every column of every table.
+
+    Types come from the schemas; only text columns are read, all tables in one job,
+    and one row per table with text comes back.
+    """
+    checked = {
+        name: [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+        for name, df in tables.items()
+    }
+    reads = [
+        datelike_texts(tables[name], texts).select(F.lit(name).alias("t"), "datelike")
+        for name, texts in checked.items()
+        if texts
+    ]
+    datelike = {row.t: set(row.datelike) for row in union_all(reads).collect()} if reads else {}
+    return {
+        name: [
+            ColumnFacts(
+                f.name, is_numeric(f.dataType), is_date(f.dataType) or f.name in datelike.get(name, ())
+            )
+            for f in df.schema
+        ]
+        for name, df in tables.items()
+    }
 
 
 def normalized(name: str) -> str:

@@ -145,6 +145,16 @@ def column_profile(df: DataFrame, distinct: str | None = "exact") -> DataFrame:
     ).orderBy("ordinal")
 
 
+def datelike_texts(df: DataFrame, names: list[str]) -> DataFrame:
+    """The names of those text columns that read as dates; one row with an array."""
+    checks = []
+    for name in names:
+        read = F.count(parse_date(f"`{name}`")).cast("double")
+        share = F.try_divide(read, F.count(f"`{name}`").cast("double"))
+        checks.append(F.when(share >= DATELIKE_SHARE, F.lit(name)))
+    return df.agg(F.array_compact(F.array(*checks)).alias("datelike"))
+
+
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Rows, columns and exact duplicate rows (all but the first copy); one row."""
     keys = [identity_text(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]

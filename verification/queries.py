@@ -125,9 +125,8 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mappings(spark: SparkSession, sf_dir: str) -> dict[str, mapping.Mapping]:
-    return {
-        t: mapping.suggest_mapping(mapping.column_facts(views.table(spark, sf_dir, t))) for t in MAPPED
-    }
+    facts = mapping.column_facts({t: views.table(spark, sf_dir, t) for t in MAPPED})
+    return {t: mapping.suggest_mapping(columns) for t, columns in facts.items()}
 
 
 def _suggested_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:

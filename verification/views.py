@@ -5,6 +5,7 @@ Everything is derived by Spark from whole tables, so work grows with them.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -72,6 +73,16 @@ def _dec(c: str) -> Column:
     return F.col(c).cast("decimal(12,2)")
 
 
+def _hundredths(c: str) -> Column:
+    """A non-negative amount with two places as a whole number."""
+    return F.floor(F.col(c) * 100 + 0.5)
+
+
+def _from_ten_thousandths(c: Column) -> Column:
+    """Whole ten-thousandths as money: whole-number arithmetic, one decimal at the end."""
+    return (c.cast("decimal(18,0)") * F.lit(Decimal("0.0001"))).cast(MONEY_TYPE)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
@@ -80,13 +91,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def retail(spark: SparkSession, sf_dir: str) -> RetailTables:
     """The twelve retail tables as views over the test tables."""
     part, nation, region = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
     customer, orders, events = (table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
     lines = _lines(spark, sf_dir)
-    revenue = (_dec("l_extendedprice") * (1 - _dec("l_discount"))).cast(MONEY_TYPE)
-    cost = (_dec("l_extendedprice") * F.lit("0.70").cast("decimal(2,2)")).cast(MONEY_TYPE)
+    price = _hundredths("l_extendedprice")
+    paid, spent = price * (100 - _hundredths("l_discount")), price * 70
+    revenue, cost = _from_ten_thousandths(paid), _from_ten_thousandths(spent)
     order_key = F.col("o_orderkey")
     placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     first, last = (
@@ -128,7 +141,7 @@ def retail(spark: SparkSession, sf_dir: str) -> RetailTables:
             F.col("l_quantity").cast("bigint").alias("quantity"),
             revenue.alias("revenue"),
             cost.alias("cost"),
-            (revenue - cost).cast(MONEY_TYPE).alias("gross_profit"),
+            _from_ten_thousandths(paid - spent).alias("gross_profit"),
         ),
         returns=lines.filter("l_returnflag = 'R'").select(
             F.concat_ws("-", "l_orderkey", "l_linenumber").alias("return_id"),
@@ -191,14 +204,14 @@ def retail(spark: SparkSession, sf_dir: str) -> RetailTables:
 
 def uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table nobody knows the schema of: line items with their part type."""
-    price = _dec("l_extendedprice")
+    price = _hundredths("l_extendedprice")
     return (
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             "l_shipdate",
-            price.alias("amount"),
-            (price * F.lit("0.70").cast("decimal(2,2)")).alias("amount_cost"),
+            _from_ten_thousandths(price * 100).alias("amount"),
+            _from_ten_thousandths(price * 70).alias("amount_cost"),
             "l_quantity",
             "l_partkey",
             "p_type",
@@ -208,6 +221,7 @@ def uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
 def user_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_frame(uploaded(spark, sf_dir), USER_MAPPING)
 
