@@ -5,7 +5,7 @@ An analysis whose concepts are missing returns None, as there is nothing to plan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywise.fixed_values import (
     PERIOD_UNITS,
@@ -67,28 +67,27 @@ def growth_comparison(frame: DataFrame, window_days: int = WINDOW_DAYS) -> DataF
     if not _has(frame, "date", "revenue"):
         return None
     anchor = frame.agg(F.max(F.to_date("date")).alias("last_day")).scalar()
-    latest_start = F.date_sub(anchor, window_days - 1)
-    previous_start = F.date_sub(anchor, 2 * window_days - 1)
-    day = F.to_date("date")
-    is_latest = day >= latest_start
     measures = [c for c in ("revenue", "profit") if c in frame.columns]
+    day, last_day = F.to_date("date"), F.col("last_day")
+    is_latest = day >= F.date_sub(last_day, window_days - 1)
     summed = (
-        frame.filter(day >= previous_start)
+        frame.withColumn("last_day", anchor)
+        .filter(day >= F.date_sub(last_day, 2 * window_days - 1))
         .agg(
-            F.count(F.lit(1)).alias("dated"),
+            F.max("last_day").alias("last_day"),
             *[round_to(total(F.when(is_latest, F.col(c)))).alias(f"latest_{c}") for c in measures],
             *[round_to(total(F.when(~is_latest, F.col(c)))).alias(f"previous_{c}") for c in measures],
         )
-        .filter("dated > 0")
+        .filter(last_day.isNotNull())
     )
     changes = {f"{c}_pct_change": round_to(change_pct(f"latest_{c}", f"previous_{c}")) for c in measures}
     compared = summed.select(
         F.lit(window_days).alias("window_days"),
-        latest_start.alias("latest_start"),
-        anchor.alias("latest_end"),
+        F.date_sub(last_day, window_days - 1).alias("latest_start"),
+        last_day.alias("latest_end"),
         *[f"latest_{c}" for c in measures],
-        previous_start.alias("previous_start"),
-        F.date_sub(anchor, window_days).alias("previous_end"),
+        F.date_sub(last_day, 2 * window_days - 1).alias("previous_start"),
+        F.date_sub(last_day, window_days).alias("previous_end"),
         *[f"previous_{c}" for c in measures],
         *[change.alias(name) for name, change in changes.items()],
     )
@@ -162,11 +161,12 @@ def value_spread(frame: DataFrame, products: int = SPREAD_PRODUCTS) -> DataFrame
     """
     if not _has(frame, "product", "revenue"):
         return None
-    top = breakdown(frame, "product", products).select(F.col("product").alias("leader"))
-    enough = top.agg((F.count("leader") > 2).alias("enough")).scalar()
-    records = (
-        frame.select("product", "revenue")
-        .join(F.broadcast(top), F.col("product").eqNullSafe(F.col("leader")), "left_semi")
-        .filter(enough)
+    leaders = breakdown(frame, "product", products).select(F.col("product").alias("leader"))
+    # A handful of rows: counting them over one window costs nothing.
+    several = F.count("leader").over(Window.partitionBy()) > 2
+    leaders = leaders.withColumn("several", several).filter("several")
+    records = frame.select("product", "revenue").join(
+        F.broadcast(leaders), F.col("product").eqNullSafe(F.col("leader")), "left_semi"
     )
-    return quartiles(records, "product", "revenue").orderBy(F.asc_nulls_last("product"))
+    spread = quartiles(records, "product", "revenue", few_groups=True)
+    return spread.orderBy(F.asc_nulls_last("product"))

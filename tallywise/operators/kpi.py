@@ -63,17 +63,21 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
     periods are put side by side, so both share one distinct count.
     """
     anchor = tables.sales.agg(F.max(F.to_date("order_date")).alias("last_day")).scalar()
-    latest_start = F.date_sub(anchor, window_days - 1)
-    previous_end = F.date_sub(anchor, window_days)
-    previous_start = F.date_sub(anchor, 2 * window_days - 1)
 
     def inside(df: DataFrame, date_col: str) -> DataFrame:
-        day = F.to_date(date_col)
-        period = F.when(day >= latest_start, F.lit("latest")).otherwise(F.lit("previous"))
-        return df.filter((day >= previous_start) & (day <= anchor)).withColumn("period", period)
+        day, last_day = F.to_date(date_col), F.col("last_day")
+        is_latest = day >= F.date_sub(last_day, window_days - 1)
+        return (
+            df.withColumn("last_day", anchor)
+            .filter((day >= F.date_sub(last_day, 2 * window_days - 1)) & (day <= last_day))
+            .withColumn("period", F.when(is_latest, F.lit("latest")).otherwise(F.lit("previous")))
+        )
 
     sold = sums_and_distinct(
-        inside(tables.sales, "order_date"), ["period"], _sales_sums(), {"orders": "order_id"}
+        inside(tables.sales, "order_date"),
+        ["period"],
+        [*_sales_sums(), F.max("last_day").alias("last_day")],
+        {"orders": "order_id"},
     )
     refunded = (
         inside(tables.returns, "return_date")
@@ -83,6 +87,7 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
     both = sold.unionByName(refunded, allowMissingColumns=True)
     measures = ("revenue", "gross_profit", "orders", "units", "return_value")
     wide = both.agg(
+        F.max("last_day").alias("last_day"),
         *[
             F.coalesce(F.max(F.when(F.col("period") == p, F.col(m))), F.lit(0)).alias(f"{p}_{m}")
             for p in _PERIODS
@@ -106,13 +111,16 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
             round_to(F.col(f"{p}_revenue") - F.col(f"{p}_return_value")).alias(f"{p}_net_revenue"),
         ]
 
+    def days_back(days: int) -> Column:
+        return F.date_sub("last_day", days)
+
     return wide.select(
         F.lit(window_days).alias("window_days"),
-        latest_start.alias("latest_start"),
-        anchor.alias("latest_end"),
+        days_back(window_days - 1).alias("latest_start"),
+        F.col("last_day").alias("latest_end"),
         *figures("latest"),
-        previous_start.alias("previous_start"),
-        previous_end.alias("previous_end"),
+        days_back(2 * window_days - 1).alias("previous_start"),
+        days_back(window_days).alias("previous_end"),
         *figures("previous"),
         change_pct("latest_revenue", "previous_revenue").alias("revenue_pct"),
         change_pct("latest_gross_profit", "previous_gross_profit").alias("gross_profit_pct"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywise.fixed_values import HISTOGRAM_BINS, OUTLIER_THRESHOLD
 from tallywise.functions.numbers import change_pct, percent, round_to
@@ -18,16 +18,17 @@ def zscore_outliers(
     """
     value = F.col(value_col).cast("double")
     spread = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).alias("s"))
-    stats = spread.scalar()
-    std = stats["std"]
+    std = F.col("_spread.std")
     score = F.when(std.isNull() | (std == 0), F.lit(0.0)).otherwise(
-        round_to((value - stats["mean"]) / std)
+        round_to((value - F.col("_spread.mean")) / std)
     )
     order = [F.desc_nulls_last("zscore")]
     if tie_breaker:
         order.append(F.asc_nulls_last(tie_breaker))
     return (
-        df.withColumn("zscore", score)
+        df.withColumn("_spread", spread.scalar())
+        .withColumn("zscore", score)
+        .drop("_spread")
         .withColumn("is_outlier", F.coalesce(F.abs("zscore") >= threshold, F.lit(False)))
         .orderBy(*order)
     )
@@ -56,10 +57,10 @@ def histogram(df: DataFrame, value_col: str, bins: int = HISTOGRAM_BINS) -> Data
     value = F.col(value_col).cast("double")
     bounds = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo is not null")
     limits = bounds.select(F.struct("lo", ((F.col("hi") - F.col("lo")) / bins).alias("width"))).scalar()
-    step = limits["width"]
-    place = F.floor(F.try_divide(value - limits["lo"], step))
+    place = F.floor(F.try_divide(F.col("value") - F.col("limits.lo"), F.col("limits.width")))
     counts = (
         df.filter(value.isNotNull())
+        .select(value.alias("value"), limits.alias("limits"))
         .groupBy((F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)) + 1).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("records"))
     )
@@ -80,16 +81,22 @@ def histogram(df: DataFrame, value_col: str, bins: int = HISTOGRAM_BINS) -> Data
     )
 
 
-def quartiles(df: DataFrame, group_col: str, value_col: str, slices: int = 64) -> DataFrame:
+def quartiles(
+    df: DataFrame, group_col: str, value_col: str, slices: int = 64, few_groups: bool = False
+) -> DataFrame:
     """Exact quartiles (linear interpolation), extremes and row count per group.
 
     An exact percentile aggregate would hold all values of a group in one task. Here
     values are counted per (group, value), then cut into ``slices`` ranges per group
     with about the same number of different values (a fixed-size sketch finds the
     cuts). Slice totals tell which slices hold the wanted ranks; only those are ranked
-    value by value, each in its own task. The cuts only decide
-    how the work is spread, never the result. Meant for a handful of groups.
+    value by value, each in its own task. The cuts only decide how the work is spread,
+    never the result.
+
+    ``few_groups`` promises that the number of groups is bounded (a top-k); cuts and
+    wanted ranks are then broadcast instead of moving the counted values by group.
     """
+    small = F.broadcast if few_groups else (lambda side: side)
     counts = (
         df.filter(F.col(value_col).isNotNull())
         .groupBy(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"))
@@ -99,7 +106,7 @@ def quartiles(df: DataFrame, group_col: str, value_col: str, slices: int = 64) -
     cuts = counts.groupBy(F.col("g").alias("cut_g")).agg(
         F.percentile_approx("v", shares, 10 * slices).alias("cuts")
     )
-    sliced = counts.join(cuts, F.col("g").eqNullSafe(F.col("cut_g"))).select(
+    sliced = counts.join(small(cuts), F.col("g").eqNullSafe(F.col("cut_g"))).select(
         "g", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("slice")
     )
     totals = sliced.groupBy("g", "slice").agg(
@@ -116,35 +123,37 @@ def quartiles(df: DataFrame, group_col: str, value_col: str, slices: int = 64) -
         F.min("low").over(whole).alias("low"),
         F.max("high").over(whole).alias("high"),
     )
-    place = F.col("q") * (F.col("records") - 1)
-    wanted = ranked.select(
-        "*", F.explode(F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("q")
-    ).select(
-        "*", F.floor(place).alias("lower"), F.ceil(place).alias("upper"), (place - F.floor(place)).alias("part")
-    )
     first, last = F.col("before"), F.col("before") + F.col("n") - 1
-    # One row per slice, with the ranks it has to answer (none for most slices).
-    asked = wanted.filter(
-        F.col("lower").between(first, last) | F.col("upper").between(first, last)
-    ).select(
-        F.col("g").alias("asked_g"), F.col("slice").alias("asked_slice"),
-        "before", "q", "lower", "upper", "part", "records", "low", "high",
-    )
-    needed = asked.select("asked_g", "asked_slice", "before").distinct()
-    within = Window.partitionBy("g", "slice").orderBy("v")
-    positions = (
-        sliced.join(
-            needed,
-            F.col("g").eqNullSafe(F.col("asked_g")) & (F.col("slice") == F.col("asked_slice")),
+
+    def point(q: float) -> Column:
+        place = F.lit(q) * (F.col("records") - 1)
+        return F.struct(
+            F.lit(q).alias("q"),
+            F.floor(place).alias("lower"),
+            F.ceil(place).alias("upper"),
+            (place - F.floor(place)).alias("part"),
         )
+
+    # The ranks a slice has to answer; most slices have none and drop out here.
+    asked = ranked.select(
+        F.col("g").alias("asked_g"),
+        F.col("slice").alias("asked_slice"),
+        "before",
+        "records",
+        "low",
+        "high",
+        F.filter(
+            F.array(*[point(q) for q in (0.25, 0.5, 0.75)]),
+            lambda p: p["lower"].between(first, last) | p["upper"].between(first, last),
+        ).alias("points"),
+    ).filter(F.size("points") > 0)
+    same_slice = F.col("g").eqNullSafe(F.col("asked_g")) & (F.col("slice") == F.col("asked_slice"))
+    within = Window.partitionBy("g", "slice").orderBy("v")
+    values = (
+        sliced.join(small(asked), same_slice)
         .withColumn("to", F.col("before") + F.sum("n").over(within) - 1)
-        .select("g", "slice", "v", (F.col("to") - F.col("n") + 1).alias("from"), "to")
-    )
-    values = positions.join(
-        asked,
-        F.col("g").eqNullSafe(F.col("asked_g"))
-        & (F.col("slice") == F.col("asked_slice"))
-        & (F.col("lower").between(F.col("from"), F.col("to")) | F.col("upper").between(F.col("from"), F.col("to"))),
+        .withColumn("from", F.col("to") - F.col("n") + 1)
+        .select("g", "v", "from", "to", "records", "low", "high", F.inline("points"))
     )
     lower_value = F.max(F.when(F.col("lower").between(F.col("from"), F.col("to")), F.col("v")))
     upper_value = F.max(F.when(F.col("upper").between(F.col("from"), F.col("to")), F.col("v")))
