@@ -5,7 +5,7 @@ An analysis whose concepts are missing returns None, as there is nothing to plan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywise.fixed_values import (
     PERIOD_UNITS,
@@ -66,28 +66,33 @@ def growth_comparison(frame: DataFrame, window_days: int = WINDOW_DAYS) -> DataF
     """
     if not _has(frame, "date", "revenue"):
         return None
-    anchor = frame.agg(F.max(F.to_date("date")).alias("last_day")).scalar()
+    start = F.date_sub(F.max(F.to_date("date")), 2 * window_days - 1).cast("timestamp_ntz")
+    first_day = frame.agg(start.alias("first_day")).scalar()
     measures = [c for c in ("revenue", "profit") if c in frame.columns]
-    day, last_day = F.to_date("date"), F.col("last_day")
-    is_latest = day >= F.date_sub(last_day, window_days - 1)
+    first = F.col("first_day")
+    is_latest = F.to_date("date") >= F.date_add(first, window_days)
     summed = (
-        frame.withColumn("last_day", anchor)
-        .filter(day >= F.date_sub(last_day, 2 * window_days - 1))
+        frame.withColumn("first_day", first_day)
+        .filter(F.col("date") >= first)
         .agg(
-            F.max("last_day").alias("last_day"),
+            F.max(first).alias("first_day"),
             *[round_to(total(F.when(is_latest, F.col(c)))).alias(f"latest_{c}") for c in measures],
             *[round_to(total(F.when(~is_latest, F.col(c)))).alias(f"previous_{c}") for c in measures],
         )
-        .filter(last_day.isNotNull())
+        .filter(first.isNotNull())
     )
+
+    def day(number: int) -> Column:
+        return F.date_add(first, number)
+
     changes = {f"{c}_pct_change": round_to(change_pct(f"latest_{c}", f"previous_{c}")) for c in measures}
     compared = summed.select(
         F.lit(window_days).alias("window_days"),
-        F.date_sub(last_day, window_days - 1).alias("latest_start"),
-        last_day.alias("latest_end"),
+        day(window_days).alias("latest_start"),
+        day(2 * window_days - 1).alias("latest_end"),
         *[f"latest_{c}" for c in measures],
-        F.date_sub(last_day, 2 * window_days - 1).alias("previous_start"),
-        F.date_sub(last_day, window_days).alias("previous_end"),
+        day(0).alias("previous_start"),
+        day(window_days - 1).alias("previous_end"),
         *[f"previous_{c}" for c in measures],
         *[change.alias(name) for name, change in changes.items()],
     )

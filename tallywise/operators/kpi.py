@@ -58,25 +58,27 @@ def kpi_for_window(tables: RetailTables, start, end, date_col: str = "order_date
 def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> DataFrame:
     """The last ``window_days`` against the same number of days before; one row.
 
-    The anchor (last order date) is a scalar subquery, so both windows come from
-    scans that only keep rows inside them. Rows are grouped by period before the two
-    periods are put side by side, so both share one distinct count.
+    The first day of the earlier window is a scalar subquery compared directly with
+    the date columns, so it reaches the file scan and both windows come from scans
+    that skip everything older. Rows are grouped by period before the two periods are
+    put side by side, so both share one distinct count.
     """
-    anchor = tables.sales.agg(F.max(F.to_date("order_date")).alias("last_day")).scalar()
+    start = F.date_sub(F.max(F.to_date("order_date")), 2 * window_days - 1)
+    first_day = tables.sales.agg(start.alias("first_day")).scalar()
 
     def inside(df: DataFrame, date_col: str) -> DataFrame:
-        day, last_day = F.to_date(date_col), F.col("last_day")
-        is_latest = day >= F.date_sub(last_day, window_days - 1)
+        day, first = F.to_date(date_col), F.col("first_day")
+        is_latest = day >= F.date_add(first, window_days)
         return (
-            df.withColumn("last_day", anchor)
-            .filter((day >= F.date_sub(last_day, 2 * window_days - 1)) & (day <= last_day))
+            df.withColumn("first_day", first_day)
+            .filter((day >= first) & (day < F.date_add(first, 2 * window_days)))
             .withColumn("period", F.when(is_latest, F.lit("latest")).otherwise(F.lit("previous")))
         )
 
     sold = sums_and_distinct(
         inside(tables.sales, "order_date"),
         ["period"],
-        [*_sales_sums(), F.max("last_day").alias("last_day")],
+        [*_sales_sums(), F.max("first_day").alias("first_day")],
         {"orders": "order_id"},
     )
     refunded = (
@@ -87,7 +89,7 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
     both = sold.unionByName(refunded, allowMissingColumns=True)
     measures = ("revenue", "gross_profit", "orders", "units", "return_value")
     wide = both.agg(
-        F.max("last_day").alias("last_day"),
+        F.max("first_day").alias("first_day"),
         *[
             F.coalesce(F.max(F.when(F.col("period") == p, F.col(m))), F.lit(0)).alias(f"{p}_{m}")
             for p in _PERIODS
@@ -111,16 +113,16 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
             round_to(F.col(f"{p}_revenue") - F.col(f"{p}_return_value")).alias(f"{p}_net_revenue"),
         ]
 
-    def days_back(days: int) -> Column:
-        return F.date_sub("last_day", days)
+    def day(number: int) -> Column:
+        return F.date_add("first_day", number)
 
     return wide.select(
         F.lit(window_days).alias("window_days"),
-        days_back(window_days - 1).alias("latest_start"),
-        F.col("last_day").alias("latest_end"),
+        day(window_days).alias("latest_start"),
+        day(2 * window_days - 1).alias("latest_end"),
         *figures("latest"),
-        days_back(2 * window_days - 1).alias("previous_start"),
-        days_back(window_days).alias("previous_end"),
+        day(0).alias("previous_start"),
+        day(window_days - 1).alias("previous_end"),
         *figures("previous"),
         change_pct("latest_revenue", "previous_revenue").alias("revenue_pct"),
         change_pct("latest_gross_profit", "previous_gross_profit").alias("gross_profit_pct"),

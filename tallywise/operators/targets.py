@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywise.fixed_values import ON_TIME_STATUS
 from tallywise.functions.numbers import money, percent, round_to
+from tallywise.functions.texts import month_key
 from tallywise.operators.enrich import dimension
 from tallywise.sources.retail import RetailTables
 
@@ -18,12 +19,9 @@ def target_vs_actual(tables: RetailTables, month: str | None = None) -> DataFram
     that sold the order: refunds are summed per order first, and every order has one
     row on the other side, so a much-returned order cannot blow up the join.
     """
-    wanted = (
-        F.lit(month)
-        if month is not None
-        else tables.targets.agg(F.max("month").alias("month")).scalar()
-    )
-    first_day = F.to_date(F.concat(wanted, F.lit("-01")))
+    first_day = F.to_date(F.concat(F.lit(month) if month else F.max("month"), F.lit("-01")))
+    if month is None:
+        first_day = tables.targets.agg(first_day.alias("first_day")).scalar()
     next_month = F.add_months(first_day, 1)
 
     def in_month(df: DataFrame, date_col: str) -> DataFrame:
@@ -78,7 +76,7 @@ def target_vs_actual(tables: RetailTables, month: str | None = None) -> DataFram
     stores = dimension(tables, "stores").select("store_id", "store_name", "region")
     zero = F.lit(0.0)
     return (
-        tables.targets.filter(F.col("month") == wanted)
+        tables.targets.filter(F.col("month") == month_key(first_day))
         .join(actual, "store_id", "left")
         .join(stores, "store_id", "left")
         .withColumn("actual_revenue", F.coalesce("revenue", zero))
