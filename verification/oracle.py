@@ -1178,6 +1178,8 @@ _STATEMENTS: dict[str, str] = {
     "target_vs_actual": target_vs_actual(TARGET_MONTH),
     "target_vs_actual_latest": target_vs_actual(None),
     "findings": findings(TARGET_MONTH),
+    "csv_scan": "SELECT * FROM customer",
+    "tsv_scan": "SELECT * FROM part",
     "candidate_join_keys": join_keys(),
     "primary_table": PRIMARY,
     "column_profile": COLUMN_PROFILE,

@@ -27,7 +27,9 @@ from tallywise.functions.texts import shorten
 from tallywise.plans import findings as finding_plans
 from tallywise.plans import questions as question_plans
 from tallywise.plans import user_tables
+from tallywise.sources.files import read_csv, read_tsv
 from verification import views
+from verification.scratch import as_delimited
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +61,16 @@ def _user(build: Callable) -> Query:
     return lambda spark, sf_dir: build(views.user_frame(spark, sf_dir))
 
 
+def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV and read back without a schema."""
+    return read_csv(spark, as_delimited(views.table(spark, sf_dir, "customer"), ","))
+
+
+def _tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as TSV and read back without a schema."""
+    return read_tsv(spark, as_delimited(views.table(spark, sf_dir, "part"), "\t"))
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     return [(t, profile.column_profile(views.table(spark, sf_dir, t))) for t in PROFILED]
 
@@ -317,6 +329,8 @@ _BUILDERS: dict[str, Query] = {
     "findings": _retail(_findings),
     "findings_evidence": _retail(_retail_evidence),
     # any table
+    "csv_scan": _csv_scan,
+    "tsv_scan": _tsv_scan,
     "candidate_join_keys": _join_keys,
     "primary_table": lambda spark, sf_dir: discover.primary_table(views.test_tables(spark, sf_dir)),
     "column_profile": _column_profile,
