@@ -170,39 +170,40 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encoded(
-    documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: (doc_id, n_tokens, ids, decoded). A null text is empty: no ids, no bytes.
-
-    ids are decimal numbers joined by blanks, decoded the bytes that they stand for. Rows keep their
-    number; repeated rows and null ids are rows like others; further columns are ignored.
-    """
-    return _run(documents, path, pattern, id_col, text_col, False)
+OUTPUTS = {
+    "ids": ("string", lambda ids, decoded: ids),
+    "decoded": ("binary", lambda ids, decoded: decoded),
+    "ids_sha256": ("string", lambda ids, decoded: hashlib.sha256(ids.encode()).hexdigest()),
+    "decoded_sha256": ("string", lambda ids, decoded: hashlib.sha256(decoded).hexdigest()),
+}
 
 
-def encoded_digests(
-    documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+def encoded(
+    documents: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    outputs: tuple[str, ...] = ("ids", "decoded"),
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the columns of `encoded`."""
-    return _run(documents, path, pattern, id_col, text_col, True)
-
+    """One row per input row: (doc_id, n_tokens, the outputs). A null text is empty: no ids, no bytes.
 
-def _run(documents, path, pattern, id_col, text_col, digests: bool) -> DataFrame:
-    names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])]
-    types = ["long", "long", *(["string", "string"] if digests else ["string", "binary"])]
+    ids are decimal numbers joined by blanks, decoded the bytes that they stand for, and the outputs
+    ending in _sha256 their digests. Repeated rows and null ids are rows like others; further columns
+    are ignored. `path` names a file that every executor has, like the tokenizer's own package data.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for part in chunks(batches, "text", CHARS_AT_ONCE):
-            n, ids, decoded = [], [], []
-            for a, b, c in own.texts(plain_texts(part, "text")):
-                n.append(a)
-                ids.append(hashlib.sha256(b.encode()).hexdigest() if digests else b)
-                decoded.append(hashlib.sha256(c).hexdigest() if digests else c)
-            kind = pa.string() if digests else pa.binary()
-            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            n, values = [], [[] for _ in outputs]
+            for count, ids, decoded in own.texts(plain_texts(part, "text")):
+                n.append(count)
+                for name, column in zip(outputs, values):
+                    column.append(OUTPUTS[name][1](ids, decoded))
+            kinds = [pa.binary() if OUTPUTS[o][0] == "binary" else pa.string() for o in outputs]
+            columns = [part.column("doc_id"), pa.array(n, pa.int64()), *map(pa.array, values, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *outputs])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, types)))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "n_tokens long", *[f"{o} {OUTPUTS[o][0]}" for o in outputs]]))

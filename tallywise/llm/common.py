@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,20 @@ STEP = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
 CHUNK_CHARS = 1_500_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_tallywise_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = f"{tempfile.mkdtemp(prefix='tallywise-')}/{top.name}-package.zip"  # the driver serves it from here
+    with zipfile.ZipFile(target, "w") as archive:
+        for module in sorted(top.rglob("*.py")):
+            archive.write(module, module.relative_to(top.parent))
+    context.addPyFile(target)
+    context._tallywise_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,3 +139,17 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(change, starts, 1)
     np.add.at(change, starts + width, -1)
     return np.cumsum(change[:-1]) > 0
+
+
+def keyed_rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, key_id, key_hash): all columns as one, so that no name clashes, and the content key."""
+    key, digest = text_key(id_col, text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    return documents.select(row, key.alias("key_id"), digest.alias("key_hash"))
+
+
+def rows_by_key(documents: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """Keyed rows with (left_semi) or without (left_anti) a partner among keys (doc_id, text_hash)."""
+    keys = keys.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")).distinct()
+    same = F.col("key_id").eqNullSafe(F.col("other_id")) & (F.col("key_hash") == F.col("other_hash"))
+    return keyed_rows(documents, id_col, text_col).join(keys, same, how)

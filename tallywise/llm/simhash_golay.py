@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallywise.llm.common import chunks, plain_texts, stored, text_key
+from tallywise.llm.common import chunks, plain_texts, rows_by_key, stored, text_key
 from tallywise.llm.components import connected_components
 
 MAX_BITS = 4
@@ -278,12 +278,5 @@ def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_c
     chosen = found.where(
         F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
     )
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("text_hash").alias("chosen_hash")).distinct()
-    names = documents.columns
-    key, digest = text_key(id_col, text_col)
-    rows = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key_id"), digest.alias("key_hash")
-    )
-    same = F.col("key_hash") == F.col("chosen_hash")
-    kept = rows.join(chosen, F.col("key_id").eqNullSafe(F.col("chosen_id")) & same, "left_semi")
+    kept = rows_by_key(documents, chosen, "left_semi", id_col, text_col)
     return kept.dropDuplicates(["key_id", "key_hash"]).select("row.*")
