@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -24,15 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tallywise.llm.common import chunks, plain_texts
+from tallywise.llm.common import chunks, looked_up, plain_texts
 
 WORDS_AT_ONCE = 40_000  # distinct words in one recursive query
-REMEMBERED = 600_000  # pieces kept from batch to batch
+REMEMBERED = 1_000_000  # pieces that a worker process keeps from batch to batch
 CHARS_AT_ONCE = 8_000_000
-OTHER_SPACE = re.compile(r"[^\S \n]")
-RUN_OF_SPACE = re.compile(r"[ \n]{2}")
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-
 # A row's place is word << 32 | pos, so that one order serves all words. A round holds all rows of the
 # words that are not finished; k joins rank and position, so its minimum is the leftmost lowest pair.
 CONTRACT = """
@@ -137,17 +132,7 @@ class Codec:
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by blanks, decoded bytes) of each text."""
-        cut = [pieces_of(t) for t in texts]
-        new = set().union(*cut) - self.pieces.keys() if cut else set()
-        fresh = self.learn(new) if new else {}
-        if len(self.pieces) + len(fresh) <= REMEMBERED:
-            self.pieces.update(fresh)
-            fresh = {}
-        for pieces in cut:
-            if fresh:
-                found = [self.pieces.get(p) or fresh[p] for p in pieces]
-            else:
-                found = [self.pieces[p] for p in pieces]
+        for found in looked_up(texts, self.pieces, self.learn, REMEMBERED):
             yield (
                 sum([f[0] for f in found]),
                 " ".join([f[1] for f in found]),
@@ -155,15 +140,6 @@ class Codec:
             )
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut before each blank or line break after a visible character; whole if it has other white space."""
-    if not text or OTHER_SPACE.search(text):
-        return [text] if text else []
-    if "\0" in text or text[0] in " \n" or RUN_OF_SPACE.search(text):
-        return PIECE.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-
 @cache
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process, used by its tasks one after the other."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -153,3 +154,38 @@ def rows_by_key(documents: DataFrame, keys: DataFrame, how: str, id_col: str, te
     keys = keys.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash")).distinct()
     same = F.col("key_id").eqNullSafe(F.col("other_id")) & (F.col("key_hash") == F.col("other_hash"))
     return keyed_rows(documents, id_col, text_col).join(keys, same, how)
+
+
+OTHER_SPACE = re.compile(r"[^\S \n]")
+PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut before each blank or line break after a visible character; whole if it has other white space.
+
+    A byte-level pattern never matches across such a place: before it ends a word, and white space
+    looks ahead only.
+    """
+    if not text:
+        return []
+    if text.isascii():
+        other = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    else:
+        other = OTHER_SPACE.search(text) is not None
+    if other:
+        return [text]
+    if text[0] in " \n" or "\0" in text or any(run in text for run in ("  ", "\n\n", " \n", "\n ")):
+        return PIECE.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+
+def looked_up(texts: list[str], known: dict, learn, limit: int) -> Iterator[list]:
+    """What `known` has for the pieces of each text; new pieces go to `learn` together, as a set."""
+    cut = [pieces_of(t) for t in texts]
+    found = [list(map(known.get, pieces)) for pieces in cut]
+    new = {p for pieces, values in zip(cut, found) if None in values for p, v in zip(pieces, values) if v is None}
+    fresh = learn(new) if new else {}
+    if len(known) + len(fresh) <= limit:
+        known.update(fresh)
+    for pieces, values in zip(cut, found):
+        yield [fresh[p] if v is None else v for p, v in zip(pieces, values)] if None in values else values

@@ -11,7 +11,6 @@ once with one table look-up for each id.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -21,20 +20,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm.common import chunks, plain_texts, shared_folder, stored
+from tallywise.llm.common import chunks, looked_up, plain_texts, shared_folder, stored
 
 LIMIT = 20  # bits of the longest code; enough for a million different ids
 BLOCK = 1 << 16
 STRIDE = 512
 PART_TOKENS = 8_000_000
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000  # pieces that a worker process keeps from batch to batch
 CHARS_AT_ONCE = 6_000_000
 
-OTHER_SPACE = re.compile(r"[^\S \n]")
-RUN_OF_SPACE = re.compile(r"[ \n]{2}")
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-
-
 class Pieces:
     """The tokenizers library with a bounded memory of what it gave for pieces of text.
 
@@ -64,12 +58,13 @@ class Pieces:
         for at in range(0, len(joinable), 4_000):
             group = joinable[at : at + 4_000]
             (ids,) = self._ids(["".join(group)])
-            ends = np.cumsum([len(p.encode()) for p in group])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends)
-            if len(ids) and cuts[-1] < len(ids) and (np.cumsum(self.sizes[ids])[cuts] == ends).all():
-                bounds = [0, *(cuts + 1).tolist()]
-                small = ids.astype(self.kind)
-                out.update((p, small[a:b].tobytes()) for p, a, b in zip(group, bounds, bounds[1:]))
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])
+            reached = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(reached, ends)
+            if len(ids) and cuts[-1] < len(ids) and (reached[cuts] == ends).all():
+                bounds = [0, *((cuts + 1) * self.kind.itemsize).tolist()]
+                octets = ids.astype(self.kind).tobytes()
+                out.update(zip(group, [octets[a:b] for a, b in zip(bounds, bounds[1:])]))
             else:  # a token that does not stand for its own bytes: ask for each piece
                 alone += group
         for at in range(0, len(alone), 4_000):
@@ -79,25 +74,7 @@ class Pieces:
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian numbers."""
-        cut = [_pieces(t) for t in texts]
-        new = set().union(*cut) - self.known.keys() if cut else set()
-        fresh = self._learn(new) if new else {}
-        if len(self.known) + len(fresh) <= REMEMBERED:
-            self.known.update(fresh)
-            fresh = {}
-        for pieces in cut:
-            if fresh:
-                yield b"".join([self.known[p] if p in self.known else fresh[p] for p in pieces])
-            else:
-                yield b"".join([self.known[p] for p in pieces])
-
-
-def _pieces(text: str) -> list[str]:
-    if not text or OTHER_SPACE.search(text):
-        return [text] if text else []
-    if "\0" in text or text[0] in " \n" or RUN_OF_SPACE.search(text):
-        return PIECE.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return map(b"".join, looked_up(texts, self.known, self._learn, REMEMBERED))
 
 
 @cache
@@ -136,8 +113,9 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, coded in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
-                own = np.bincount(_numbers(coded, width))
+            widths, coded = batch.column("width").to_pylist(), batch.column("ids").to_pylist()
+            for width in set(widths):
+                own = np.bincount(_numbers(b"".join([c for c, w in zip(coded, widths) if w == width]), width))
                 if len(own) > len(total):
                     total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
                 total[: len(own)] += own
