@@ -1,7 +1,7 @@
-"""Seconds per registered query: one warm-up, then the median of up to three timed runs.
+"""Seconds per registered query: one warm-up, then the median of the timed runs.
 
-A query that has used up its time budget is not repeated further, and late queries run
-once, without a warm-up, when the whole run has used up its own. Prints one JSON line.
+Every query is treated alike; BENCH_RUNS timed runs, one unless told otherwise, and
+their number is printed. Prints one JSON line.
 BENCH_SF_DIR, BENCH_CPUS, BENCH_RUNS and BENCH_QUERIES
 (comma-separated names) change what is measured.
 """
@@ -20,14 +20,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from verification.queries import QUERIES  # noqa: E402
 
-BUDGET_SECONDS = 2.0
-TOTAL_BUDGET_SECONDS = 300.0
-
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or list(QUERIES)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -39,18 +36,14 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds, begun = {}, time.perf_counter()
+    seconds = {}
     for name in names:
         timed = []
         for _ in range(runs + 1):
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             timed.append(time.perf_counter() - start)
-            if len(timed) > 1 and sum(timed[1:]) > BUDGET_SECONDS:
-                break
-            if time.perf_counter() - begun > TOTAL_BUDGET_SECONDS:
-                break
-        seconds[name] = round(statistics.median(timed[1:] or timed), 3)
+        seconds[name] = round(statistics.median(timed[1:]), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
@@ -58,6 +51,7 @@ def main() -> None:
                 "metric": "total_query_seconds",
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
+                "timed_runs_per_query": runs,
                 "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }

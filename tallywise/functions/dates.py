@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tallywise.fixed_values import DATE_FORMATS, ISO_DATE_SHAPE
+from tallywise.fixed_values import DATE_FORMATS, ISO_DATE_SHAPE, WEEKDAY_PREFIX
 from tallywise.functions.numbers import as_column
 
-# No accepted form is longer; keeps the patterns away from long texts.
-_LONGEST = 40
-
 
 def parse_date(c: Column | str) -> Column:
     """Timestamp of a text in any accepted form, null when it is none of them.
 
     A form is only tried on texts that look like it: failing to parse is what costs.
     """
-    text = F.trim(as_column(c))
+    text = F.regexp_replace(F.trim(as_column(c)), WEEKDAY_PREFIX, "")
     tried = [F.when(text.rlike(ISO_DATE_SHAPE), text.try_cast("timestamp_ntz"))]
     for shape, layout in DATE_FORMATS:
         parsed = F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz")
         tried.append(F.when(text.rlike(shape), parsed))
-    plausible = (F.length(text) <= _LONGEST) & text.rlike("[0-9]{2}")
-    return F.when(plausible, F.coalesce(*tried))
+    return F.coalesce(*tried)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from tallywise.fixed_values import MONEY_TYPE
 
 # Doubles from here on have no fractional part left to round.
-_WHOLE_FROM = 1e15
+_WHOLE_FROM = 2.0**52
 
 
 def as_column(c: Column | str) -> Column:
@@ -30,7 +30,7 @@ def total(c: Column | str) -> Column:
 
 def mean(c: Column | str) -> Column:
     """Average over an exact fixed-point sum, null when there are no values."""
-    return F.try_divide(F.sum(money(c)).cast("double"), F.count(as_column(c)).cast("double"))
+    return F.try_divide(F.sum(as_column(c).cast("decimal(28,10)")).cast("double"), F.count(as_column(c)).cast("double"))
 
 
 def ratio(num: Column | str, den: Column | str) -> Column:

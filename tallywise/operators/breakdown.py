@@ -5,33 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallywise.fixed_values import DIMENSION_COLUMNS, MANAGER_ROLE
-from tallywise.functions.numbers import money, percent, ratio, round_to, total
-from tallywise.operators.enrich import dimension, sales_with
-from tallywise.operators.summaries import sums_and_distinct
+from tallywise.functions.numbers import percent, ratio, round_to
+from tallywise.operators.enrich import described, dimension, key_of
+from tallywise.operators.summaries import as_numbers, money_sums, sums_and_distinct
 from tallywise.sources.retail import RetailTables
 
 
+def _by_dimension(tables: RetailTables, sales: DataFrame, column: str, sums: dict, counted: dict) -> DataFrame:
+    through = (key_of(column),)
+    if through == (column,):
+        return sums_and_distinct(sales, [column], sums, counted)
+    return sums_and_distinct(sales, [column], sums, counted, through, lambda df: described(df, tables, column))
+
+
 def breakdown_by(
     tables: RetailTables, dimension_name: str, start=None, end=None, top_n: int | None = None
 ) -> DataFrame:
     """Revenue, profit, units, distinct orders and margin per value, best first.
 
-    Only the table holding the dimension is joined, and the date filter sits below
-    the join.
+    Sales are summed per key and order before the one table that holds the dimension
+    is joined; the date filter sits below the sums.
     """
     if dimension_name not in DIMENSION_COLUMNS:
         raise ValueError(f"Unknown dimension '{dimension_name}'. Options: {list(DIMENSION_COLUMNS)}")
     column = DIMENSION_COLUMNS[dimension_name]
-    sales = sales_with(tables, column)
+    sales = tables.sales
     if start is not None and end is not None:
         sales = sales.filter(F.col("order_date").between(start, end))
-    sums = [
-        total(money("revenue")).alias("revenue"),
-        total(money("gross_profit")).alias("gross_profit"),
-        F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"),
-    ]
     ranked = (
-        sums_and_distinct(sales, [column], sums, {"orders": "order_id"})
+        _by_dimension(tables, sales, column, money_sums() | {"units": F.col("quantity")}, {"orders": "order_id"})
+        .withColumns(as_numbers() | {"units": F.coalesce("units", F.lit(0)).cast("bigint")})
         .withColumnRenamed(column, dimension_name)
         .withColumn(
             "margin_pct",
@@ -49,11 +52,7 @@ def store_team_performance(tables: RetailTables) -> DataFrame:
 
     Sales and staff are both summed per store before anything is joined.
     """
-    sums = [
-        total(money("revenue")).alias("revenue"),
-        total(money("gross_profit")).alias("gross_profit"),
-    ]
-    sold = sums_and_distinct(tables.sales, ["store_id"], sums, {"orders": "order_id"})
+    sold = sums_and_distinct(tables.sales, ["store_id"], money_sums(), {"orders": "order_id"}).withColumns(as_numbers())
     staff = (
         tables.employees.filter(F.col("store_id").isNotNull())
         .groupBy("store_id")
@@ -85,14 +84,10 @@ def store_team_performance(tables: RetailTables) -> DataFrame:
 
 def segment_value(tables: RetailTables) -> DataFrame:
     """Revenue, orders and customers per customer segment, best first."""
-    sums = [
-        total(money("revenue")).alias("revenue"),
-        total(money("gross_profit")).alias("gross_profit"),
-    ]
     counted = {"orders": "order_id", "customers": "customer_id"}
-    sales = sales_with(tables, "customer_segment")
     return (
-        sums_and_distinct(sales, ["customer_segment"], sums, counted)
+        _by_dimension(tables, tables.sales, "customer_segment", money_sums(), counted)
+        .withColumns(as_numbers())
         .orderBy(F.desc_nulls_last("revenue"), F.asc_nulls_last("customer_segment"))
         .select(
             "customer_segment",

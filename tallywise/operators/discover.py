@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallywise.fixed_values import (
     DATE_NAME_WORDS,
@@ -13,6 +13,10 @@ from tallywise.fixed_values import (
 from tallywise.operators.profile import is_numeric, union_all
 
 
+def _nothing(schema: str) -> DataFrame:
+    return SparkSession.active().createDataFrame([], schema)
+
+
 def candidate_join_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Identifier-like column names found in more than one table that has rows.
 
@@ -34,7 +38,7 @@ def candidate_join_keys(tables: dict[str, DataFrame]) -> DataFrame:
         if keys:
             named.append(df.limit(1).select(F.inline(F.array(*keys))))
     if not named:
-        raise ValueError("No table has an identifier-like column")
+        return _nothing("column_name string, tables string, note string")
     owners = F.array_sort(F.collect_list(F.struct("ordinal", "position", "table_name")))
     return (
         union_all(named)
@@ -71,6 +75,8 @@ def table_scores(tables: dict[str, DataFrame]) -> DataFrame:
                 "row_count",
             )
         )
+    if not scored:
+        return _nothing("ordinal int, table_name string, has_money boolean, has_date boolean, row_count bigint")
     return union_all(scored).filter("row_count > 0")
 
 

@@ -50,6 +50,18 @@ def dimension_owning(column: str) -> str | None:
     return next((name for name, (_, added) in _ADDED.items() if column in added), None)
 
 
+def key_of(column: str) -> str:
+    """The column of a sale that leads to a descriptive column, itself if sales has it."""
+    owner = dimension_owning(column)
+    return _ADDED[owner][0] if owner else column
+
+
+def described(df: DataFrame, tables: RetailTables, column: str) -> DataFrame:
+    """Rows with the key of a dimension and the one descriptive column asked for."""
+    owner = dimension_owning(column)
+    return df.join(dimension(tables, owner).select(_ADDED[owner][0], column), _ADDED[owner][0], "left") if owner else df
+
+
 def sales_with(tables: RetailTables, column: str) -> DataFrame:
     """Sales with one descriptive column, joining only the table that has it."""
     owner = dimension_owning(column)

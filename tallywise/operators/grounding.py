@@ -6,6 +6,8 @@ per row; a record's fields may be numbers, flags, text, dates, arrays, maps or s
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallywise.fixed_values import (
@@ -26,7 +28,7 @@ _NUMBERS = "array<double>"
 _SEAM = 50.0
 _STEP = 0.5
 _GROWTH = 1.005
-_LARGEST = 1e300
+_LARGEST = sys.float_info.max  # only what is not finite lies beyond
 
 
 def numbers_of(value: Column, dtype: T.DataType) -> Column:
@@ -119,7 +121,7 @@ def numbers_grounded(
     margin = _tolerance(known) + 0.1
     filed = (
         evidence.select(id_col, F.explode(record_numbers(evidence, id_col)).alias("known"))
-        .filter(F.abs(known) < _LARGEST)
+        .filter(F.abs(known) <= _LARGEST)
         .select(
             id_col,
             "known",
@@ -135,7 +137,7 @@ def numbers_grounded(
     )
     supported = F.coalesce(
         (F.col("at") | _agree(number, F.col("below")) | _agree(number, F.col("above")))
-        & (F.abs(number) < _LARGEST),
+        & (F.abs(number) <= _LARGEST),
         F.lit(False),
     )
     judged = (
@@ -162,7 +164,7 @@ def entities_grounded(
         id_col,
         record_entity(evidence).alias("entity"),
         record_measures(evidence, id_col).alias("numbers"),
-    ).filter(F.col("entity").isNotNull())
+    ).filter(F.col("entity") != "")
     mentioned = (
         records.select(id_col, "entity")
         .distinct()
@@ -199,16 +201,23 @@ def verified_text(
     template_col: str = "template",
 ) -> DataFrame:
     """The candidate text where both checks pass, else the template; and which it was."""
-    numbers = numbers_grounded(candidates, evidence, id_col, candidate_col)
-    names = entities_grounded(candidates, evidence, id_col, candidate_col)
-    passes = (
-        F.col("numbers_grounded")
-        & F.col("entities_grounded")
-        & (F.length(F.coalesce(candidate_col, F.lit(""))) > 0)
+    # checked under a key of id and text: repeated ids stay apart, and an unknown id has no evidence
+    key, checked = "_checked", "_candidate"
+    named = candidates.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(candidate_col).alias("text")))
+    different = named.select(key, F.col(id_col), F.col(candidate_col).alias(checked)).distinct()
+    facts = evidence.join(different.select(key, F.col(id_col)), id_col).drop(id_col)
+    texts = different.select(key, checked)
+    numbers = numbers_grounded(texts, facts, key, checked)
+    names = entities_grounded(texts, facts, key, checked)
+    failed = (
+        numbers.filter(~F.col("numbers_grounded")).select(key)
+        .union(names.filter(~F.col("entities_grounded")).select(key))
+        .distinct()
+        .select(F.col(key).alias("_failed"))
     )
+    passes = F.col("_failed").isNull() & (F.length(F.coalesce(candidate_col, F.lit(""))) > 0)
     return (
-        candidates.join(numbers, id_col)
-        .join(names, id_col)
+        named.join(failed, F.col(key).eqNullSafe(F.col("_failed")), "left")
         .select(
             id_col,
             F.when(passes, F.col(candidate_col)).otherwise(F.col(template_col)).alias("text"),

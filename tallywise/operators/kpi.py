@@ -14,18 +14,18 @@ from tallywise.functions.numbers import (
     round_to,
     total,
 )
-from tallywise.operators.summaries import sums_and_distinct
+from tallywise.operators.summaries import as_numbers, money_sums, sums_and_distinct
 from tallywise.sources.retail import RetailTables
 
 _PERIODS = ("latest", "previous")
 
 
-def _sales_sums() -> list[Column]:
-    return [
-        total(money("revenue")).alias("revenue"),
-        total(money("gross_profit")).alias("gross_profit"),
-        F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"),
-    ]
+def _sales_sums() -> dict[str, Column]:
+    return money_sums() | {"units": F.col("quantity")}
+
+
+def _totals() -> dict[str, Column]:
+    return as_numbers() | {"units": F.coalesce("units", F.lit(0)).cast("bigint")}
 
 
 def date_range(sales: DataFrame, date_col: str = "order_date") -> DataFrame:
@@ -36,14 +36,13 @@ def date_range(sales: DataFrame, date_col: str = "order_date") -> DataFrame:
 def kpi_for_window(tables: RetailTables, start, end, date_col: str = "order_date") -> DataFrame:
     """One row of key figures for start <= date <= end; refunds count by return date."""
     inside = tables.sales.filter(F.col(date_col).between(start, end))
-    sold = inside.agg(*_sales_sums())
-    orders = inside.agg(F.count_distinct("order_id").alias("orders")).scalar()
+    sold = sums_and_distinct(inside, [], _sales_sums(), {"orders": "order_id"}).withColumns(_totals())
     refunds = (
         tables.returns.filter(F.col("return_date").between(start, end))
         .agg(total(money("refund_amount")).alias("return_value"))
         .scalar()
     )
-    return sold.withColumns({"orders": orders, "return_value": refunds}).select(
+    return sold.withColumn("return_value", refunds).select(
         round_to("revenue").alias("revenue"),
         round_to("gross_profit").alias("gross_profit"),
         round_to(percent_or_zero("gross_profit", "revenue")).alias("margin_pct"),
@@ -77,10 +76,10 @@ def period_comparison(tables: RetailTables, window_days: int = WINDOW_DAYS) -> D
 
     sold = sums_and_distinct(
         inside(tables.sales, "order_date"),
-        ["period"],
-        [*_sales_sums(), F.max("first_day").alias("first_day")],
+        ["period", "first_day"],  # the day is the same in all rows
+        _sales_sums(),
         {"orders": "order_id"},
-    )
+    ).withColumns(_totals())
     refunded = (
         inside(tables.returns, "return_date")
         .groupBy("period")
@@ -147,12 +146,9 @@ def monthly_trend(tables: RetailTables) -> DataFrame:
     sales = tables.sales.filter(F.col("order_date").isNotNull()).withColumn(
         "month", F.to_date(F.date_trunc("month", "order_date"))
     )
-    sums = [
-        total(money("revenue")).alias("revenue"),
-        total(money("gross_profit")).alias("gross_profit"),
-    ]
     return (
-        sums_and_distinct(sales, ["month"], sums, {"orders": "order_id"})
+        sums_and_distinct(sales, ["month"], money_sums(), {"orders": "order_id"})
+        .withColumns(as_numbers())
         .select(
             "month",
             round_to("revenue").alias("revenue"),

@@ -35,14 +35,17 @@ def zscore_outliers(
 
 
 def period_change(trend: DataFrame, period: str = "period", value: str = "revenue") -> DataFrame:
-    """Change against the previous period in percent (1 place); the first period has none.
+    """Change against the previous period in percent (1 place); the first period is
+    left out, and after a period of zero the change is null.
 
     Expects an aggregated series: the ordering runs over its few rows, not over facts.
     """
-    before = F.lag(value).over(Window.orderBy(period))
+    ordered = Window.orderBy(period)
     return (
-        trend.withColumn("change_pct", round_to(change_pct(value, before), 1))
-        .filter(F.col("change_pct").isNotNull())
+        trend.withColumn("change_pct", round_to(change_pct(value, F.lag(value).over(ordered)), 1))
+        .withColumn("_first", F.row_number().over(ordered) == 1)
+        .filter(~F.col("_first"))
+        .drop("_first")
         .orderBy(period)
     )
 

@@ -1,30 +1,41 @@
-"""Sums and distinct counts side by side."""
+"""Sums and distinct counts side by side, in one pass."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallywise.functions.numbers import money
+
+
+def money_sums() -> dict[str, Column]:
+    return {"revenue": money("revenue"), "gross_profit": money("gross_profit")}
+
+
+def as_numbers() -> dict[str, Column]:
+    """The totals of ``money_sums`` as doubles, 0 where there was nothing to add."""
+    return {c: F.coalesce(c, F.lit(0)).cast("double") for c in money_sums()}
+
 
 def sums_and_distinct(
-    df: DataFrame, keys: list[str], sums: list[Column], distinct: dict[str, str]
+    df: DataFrame,
+    keys: list[str],
+    sums: dict[str, Column],
+    distinct: dict[str, str],
+    through: tuple[str, ...] = (),
+    look_up=None,
 ) -> DataFrame:
-    """Group sums plus a distinct count per ``{alias: column}``.
+    """Group totals ``{alias: expression}`` plus a distinct count per ``{alias: column}``.
 
-    In one aggregation Spark would carry every sum through the shuffle once per
-    (key, distinct value), or repeat each row per distinct column. Apart, the sums
-    shrink to one row per key before their shuffle, and a distinct count moves nothing
-    but (key, value) pairs, spread over all tasks however large a key is. Each part
-    reads only its own columns; the results meet as one row per key.
+    The rows are summed per key and counted value first, once, so a hot key is spread
+    over its values; totals and counts come from these sums. Sums of decimals and whole
+    numbers are exact in any order; a total without values is null. ``look_up`` may
+    turn columns ``through`` of the sums into the keys, like a product into its
+    category: then a dimension is joined to sums and not to single sales.
     """
-    result = df.groupBy(*keys).agg(*sums)
-    for alias, column in distinct.items():
-        counted = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-            F.count_distinct(column).alias(alias)
-        )
-        same_key = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        )
-        result = result.join(counted, same_key, "left").drop(*[f"_{k}" for k in keys])
-    return result
+    first = list(dict.fromkeys([*(through or keys), *distinct.values()]))
+    summed = df.groupBy(*first).agg(*[F.sum(e).alias(a) for a, e in sums.items()])
+    if look_up is not None:
+        summed = look_up(summed)
+    single = len(distinct) == 1 and not through
+    counts = [(F.count(c) if single else F.count_distinct(c)).alias(a) for a, c in distinct.items()]
+    return summed.groupBy(*keys).agg(*[F.sum(a).alias(a) for a in sums], *counts)

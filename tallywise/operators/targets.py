@@ -48,7 +48,9 @@ def target_vs_actual(tables: RetailTables, month: str | None = None) -> DataFram
         .groupBy("order_id")
         .agg(F.sum(money("refund_amount")).alias("refund"))
     )
-    order_store = tables.sales.groupBy("order_id").agg(F.min("store_id").alias("store_id"))
+    # only the orders refunded in the month, not all sales ever
+    refunded_sales = tables.sales.join(refunds.select("order_id"), "order_id", "left_semi")
+    order_store = refunded_sales.groupBy("order_id").agg(F.min("store_id").alias("store_id"))
     refunded = (
         refunds.join(order_store, "order_id").groupBy("store_id").agg(F.sum("refund").alias("refund"))
     )

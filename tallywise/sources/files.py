@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallywise import fixed_values as fixed
-from tallywise.sources.retail import strip_names
+from tallywise.sources.retail import cleared, delimited_reader, strip_names
 
 
 class DatasetError(ValueError):
@@ -30,23 +30,27 @@ def infer_types(texts: DataFrame) -> DataFrame:
     """Typed columns from text columns, after clearing the texts that mean "no value".
 
     A column is whole numbers, numbers or true/false when all its values are; anything
-    else stays text. One aggregation decides for all columns; one row comes back.
+    else stays text. Whole numbers too large for 64 bits are decimals of up to 38 digits,
+    beyond that text: no digit is lost. One aggregation decides for all columns; one row
+    comes back.
     """
-    cleaned = texts.select(
-        *[
-            F.when(~F.col(f"`{c}`").isin(*fixed.MISSING_TEXTS), F.col(f"`{c}`")).alias(c)
-            for c in texts.columns
-        ]
-    )
+    cleaned = cleared(texts)
 
     def all_like(c: Column, matches: Column) -> Column:
         return F.count(c) == F.count_if(matches)
 
+    def whole(c: Column) -> Column:
+        return (
+            F.when(all_like(c, c.try_cast("bigint").isNotNull()), "bigint")
+            .when(all_like(c, c.try_cast("decimal(38,0)").isNotNull()), "decimal(38,0)")
+            .otherwise("string")
+        )
+
     def kind(name: str) -> Column:
         c = F.col(f"`{name}`")
         return (
             F.when(F.count(c) == 0, "double")
-            .when(all_like(c, c.rlike(fixed.WHOLE_NUMBER_SHAPE)), "bigint")
+            .when(all_like(c, c.rlike(fixed.WHOLE_NUMBER_SHAPE)), whole(c))
             .when(all_like(c, c.rlike(fixed.NUMBER_SHAPE)), "double")
             .when(all_like(c, F.lower(c).isin(*fixed.TRUTH_TEXTS)), "boolean")
             .otherwise("string")
@@ -64,15 +68,17 @@ def read_delimited(
     sep: str = ",",
     schema: T.StructType | str | None = None,
     max_rows: int | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A delimited file or folder with a header row.
 
     With a ``schema`` nothing is read until the table is used; without one the types are
-    worked out from all values first. ``multi_line`` allows line breaks inside quotes,
-    but then a file cannot be split among tasks. There is no row limit unless asked for.
+    worked out from all values first. Quoted cells may hold separators, doubled quotes
+    and line breaks. For files without line breaks in cells, ``multi_line=False`` lets
+    tasks share a file; a row that does not have the header's number of cells is then an
+    error, never a broken row. There is no row limit unless asked for.
     """
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
+    reader = delimited_reader(spark, sep, multi_line)
     if schema is not None:
         df = strip_names(reader.schema(schema).csv(path))
     else:
@@ -124,13 +130,25 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def _is_json_lines(lines: DataFrame) -> bool:
+    """Are there at least two lines, each of them a complete object?"""
+    complete = F.col("value").rlike(r"^\s*\{") & F.json_object_keys("value").isNotNull()
+    if lines.limit(2).filter(complete).count() < 2:
+        return False
+    return lines.filter(~F.coalesce(complete, F.lit(False))).isEmpty()
+
+
 def read_json(spark: SparkSession, path: str, array_key: str | None = None) -> tuple[DataFrame, str]:
     """A table from a JSON file and a note on how it was found.
 
     A list of objects gives a row per object. An object gives the rows of its first
-    non-empty list of objects (or of ``array_key``), else one row. Nested objects are
-    flattened.
+    non-empty list of objects (or of ``array_key``), else one row. One object on every
+    line gives a row per line; tasks share such a file. Nested objects are flattened.
     """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    if array_key is None and _is_json_lines(lines):
+        df = spark.read.option("mode", "FAILFAST").json(path)
+        return strip_names(flatten(df)), ""
     whole = spark.read.text(path, wholetext=True)
     shape = whole.select(
         F.regexp_extract("value", r"^\s*(\S)", 1).alias("first"),
@@ -167,8 +185,9 @@ def read_documents(
 ) -> DataFrame:
     """(file, text) for text documents, whole unless ``max_chars`` is given."""
     text = F.col("value") if max_chars is None else F.substring("value", 1, max_chars)
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)  # encoded, but for plus signs
     return spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), text.alias("text")
+        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"), text.alias("text")
     )
 
 
@@ -176,6 +195,8 @@ def read_documents(
 # A folder of files
 # ---------------------------------------------------------------------------
 
+READABLE = (".csv", ".tsv", ".json", ".txt", ".md")
+
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: what its name says it is. File contents are not read.
@@ -189,6 +210,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
         .join(scanned.select("path", "length"), "path", "left")
         .withColumn("length", F.coalesce("length", F.lit(0)))
     )
+    known = (*fixed.STRUCTURED_EXTENSIONS, *fixed.DOCUMENT_EXTENSIONS)
     ext = F.lower(F.regexp_extract("file", r"[^.](\.[^.]+)$", 1))
     e = F.col("extension")
     image, video = e.isin(*fixed.IMAGE_EXTENSIONS), e.isin(*fixed.VIDEO_EXTENSIONS)
@@ -197,8 +219,10 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
         F.lit("{extension}"),
         F.when(e == "", "no extension").otherwise(e),
     )
+    no_reader = e.isin(*[x for x in known if x not in READABLE])
     kind = (
-        F.when(e.isin(*fixed.STRUCTURED_EXTENSIONS), "data")
+        F.when(no_reader, "unsupported")
+        .when(e.isin(*fixed.STRUCTURED_EXTENSIONS), "data")
         .when(e.isin(*fixed.DOCUMENT_EXTENSIONS), "context")
         .otherwise("unsupported")
     )
@@ -212,11 +236,13 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
             "extension",
             "length",
             "kind",
-            F.when(F.col("kind") == "data", "ready")
+            F.when(no_reader, "error")
+            .when(F.col("kind") == "data", "ready")
             .when(F.col("kind") == "context", "extracted")
             .otherwise("declined")
             .alias("status"),
-            F.when(F.col("kind") != "unsupported", "")
+            F.when(no_reader, F.replace(F.lit(fixed.NO_READER_DETAIL), F.lit("{extension}"), F.upper(F.substr(e, F.lit(2)))))
+            .when(F.col("kind") != "unsupported", "")
             .when(image, fixed.IMAGE_DETAIL)
             .when(video, fixed.VIDEO_DETAIL)
             .otherwise(unknown)
@@ -228,7 +254,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class IngestedFile:
-    """One file: its kind and status, and the table or text read from it."""
+    """One file: its kind and status, and the table or document read from it."""
 
     name: str
     extension: str
@@ -236,7 +262,12 @@ class IngestedFile:
     status: str
     detail: str = ""
     frame: DataFrame | None = None
-    text: str = ""
+    document: DataFrame | None = None
+
+    @property
+    def text(self) -> str:
+        """The text of a document, fetched when it is asked for."""
+        return "" if self.document is None else self.document.first().text
 
 
 @dataclass
@@ -256,14 +287,14 @@ class Ingested:
         return {f.name: f.frame for f in self.data_files()}
 
     def summary(self) -> DataFrame:
-        """File, Type, Role, Size, Status and Detail per file; all tables counted in one job."""
+        """File, Type, Role, Size, Status and Detail per file; tables and texts are measured in one job."""
         rows = [
             (
                 i,
                 f.name,
                 f.extension.lstrip(".").upper(),
                 fixed.ROLE_NAMES[f.kind],
-                f"{len(f.text):,} chars" if f.kind == "context" else fixed.NO_SIZE,
+                fixed.NO_SIZE,
                 f.status.capitalize(),
                 f.detail,
             )
@@ -276,6 +307,9 @@ class Ingested:
             if f.frame is not None:
                 counted = F.concat(F.format_number(F.count(F.lit(1)), 0), F.lit(" rows"))
                 counts = counts.union(f.frame.agg(counted).select(F.lit(i), "*"))
+            if f.document is not None:
+                length = F.format_number(F.coalesce(F.sum(F.length("text")), F.lit(0)), 0)
+                counts = counts.union(f.document.agg(F.concat(length, F.lit(" chars"))).select(F.lit(i), "*"))
         return (
             listed.join(counts, F.col("i") == F.col("j"), "left")
             .withColumn("Size", F.coalesce("counted", "Size"))
@@ -304,23 +338,22 @@ def _ingest_one(spark: SparkSession, row) -> IngestedFile:
         if row.kind == "data":
             frame, detail = _read_table(spark, row.path, row.extension)
             return IngestedFile(row.file, row.extension, "data", "ready", detail, frame=frame)
-        if row.extension not in (".txt", ".md"):
-            return unusable(fixed.NO_READER_DETAIL.format(extension=row.extension.lstrip(".").upper()))
-        found = read_documents(spark, row.path).first()
+        document = read_documents(spark, row.path)
+        empty = document.filter(F.col("text").rlike(r"\S")).isEmpty()
     except DatasetError as e:
         return unusable(str(e))
     except (AnalysisException, PySparkException) as e:
         return unusable(fixed.PARSE_ERROR_DETAIL.format(error=str(e).splitlines()[0]))
-    if found is None or not found.text.strip():
+    if empty:
         return unusable("")
-    return IngestedFile(row.file, row.extension, "context", "extracted", text=found.text)
+    return IngestedFile(row.file, row.extension, "context", "extracted", document=document)
 
 
 def ingest(spark: SparkSession, path: str) -> Ingested:
     """Every file of a folder of uploads, read where possible.
 
     Meant for what a person uploads: the driver goes through the list of files. The
-    tables stay lazy; of a document its text is kept.
+    tables and documents stay lazy.
     """
     rows = file_inventory(spark, path).collect()
     return Ingested(spark, [_ingest_one(spark, row) for row in rows])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
-from tallywise.fixed_values import MONEY_TYPE
+from tallywise.fixed_values import MISSING_TEXTS, MONEY_TYPE
 
 # Columns and types of every table.
 SCHEMAS: dict[str, dict[str, str]] = {
@@ -107,14 +107,32 @@ def strip_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def delimited_reader(spark: SparkSession, sep: str, multi_line: bool = True) -> DataFrameReader:
+    """A reader of delimited text with quotes doubled inside quotes, and line breaks kept there.
+
+    Without ``multi_line`` a file is split among tasks, and a row of another number of
+    cells than the header, as a broken quoted line leaves, is an error.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
+    return reader if multi_line else reader.option("mode", "FAILFAST").option("columnPruning", False)
+
+
+def cleared(texts: DataFrame) -> DataFrame:
+    """Text columns without the texts that mean "no value"."""
+    kept = [F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in texts.columns]
+    return texts.select(*kept)
+
+
 def read_table(spark: SparkSession, directory: str, name: str, fmt: str = "parquet") -> DataFrame:
     """One table with its declared types; a missing path raises PATH_NOT_FOUND.
 
     CSV columns are matched by header name, whatever their order in the file.
     """
     path = f"{directory.rstrip('/')}/{name}.{fmt}"
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = strip_names(reader.format(fmt).load(path))
+    if fmt == "csv":
+        df = cleared(strip_names(delimited_reader(spark, ",").csv(path)))
+    else:
+        df = strip_names(spark.read.format(fmt).load(path))
     types = SCHEMAS[name]
     return df.select(
         *[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns]

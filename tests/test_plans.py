@@ -19,9 +19,13 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def formatted(df) -> str:
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def pushed(df) -> set[str]:
     """Filters handed to the file scans, subqueries without their numbers."""
-    lists = re.findall(r"PushedFilters: \[([^\]]*)\]", df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+    lists = re.findall(r"PushedFilters: \[([^\]]*)\]", formatted(df))
     return {re.sub(r"#\d+", "", f) for found in lists for f in found.split(", ")}
 
 
@@ -67,7 +71,7 @@ def test_date_filters_reach_the_scan(spark, stored):
 
 
 def test_scans_read_only_needed_columns(spark, stored):
-    text = plan(breakdown.breakdown_by(stored, "channel"))
+    text = formatted(breakdown.breakdown_by(stored, "channel"))
     read = set(re.findall(r"ReadSchema: struct<([^>]*)>", text))
     columns = {c for schema in read for c in re.findall(r"(\w+):", schema)}
     assert columns == {"channel", "order_id", "revenue", "gross_profit", "quantity"}
@@ -106,3 +110,17 @@ def test_one_hot_key_gives_the_same_result(spark, stored):
         for r in joined.groupBy("category").agg(F.sum("revenue").alias("s"), F.count_distinct("order_id").alias("n")).collect()
     }
     assert {k: (pytest.approx(v[0], abs=0.011), v[1]) for k, v in want.items()} == got
+
+
+def scans(df, table: str) -> int:
+    """How many scans of a table a plan holds, before equal subqueries are run only once."""
+    return len(re.findall(rf"Scan parquet[^\n]*\n(?:[^\n]+\n)*?Location:[^\n]*/{table}\.parquet", formatted(df)))
+
+
+@pytest.mark.parametrize(
+    ("name", "most"),
+    [("breakdown_brand", 1), ("breakdown_region", 1), ("segment_value", 1), ("store_team_performance", 1), ("monthly_trend", 1), ("kpi_window", 2), ("period_comparison", 4)],
+)
+def test_the_sales_fact_is_read_once(spark, name, most):
+    """Returns are a view of the same table; the last day is looked up for sales and for returns."""
+    assert scans(QUERIES[name](spark, DATA), "lineitem") <= most

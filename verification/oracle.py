@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tallywise import fixed_values as fixed
-from verification.queries import MAPPED, PROFILED, TARGET_MONTH, WINDOW
+from verification.queries import LONG_ID, MAPPED, PROFILED, TARGET_MONTH, WINDOW
 from verification.views import QUESTION_FORMS
 
 # ---------------------------------------------------------------------------
@@ -798,24 +798,6 @@ def _concepts() -> dict[str, set[str]]:
     return found
 
 
-def capability_matrix() -> str:
-    rows = []
-    for t, have in _concepts().items():
-        for analysis, groups in fixed.ANALYSIS_REQUIREMENTS.items():
-            lacking = [" or ".join(g) for g in groups if not have & set(g)]
-            rows.append(f"({text(t)}, {text(analysis)}, {str(not lacking).lower()}, {text(', '.join(lacking))})")
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(table_name, analysis, supported, missing)"
-
-
-def supported_questions() -> str:
-    rows = []
-    for t, have in _concepts().items():
-        for analysis, groups in fixed.ANALYSIS_REQUIREMENTS.items():
-            if all(have & set(g) for g in groups):
-                rows += [f"({text(t)}, {text(analysis)}, {text(q)})" for q in fixed.ANALYSIS_QUESTIONS[analysis]]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) v(table_name, analysis, question)"
-
-
 CANONICAL = """SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END::VARCHAR AS date,
     CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS revenue, o_custkey AS customer,
     o_orderpriority AS category FROM orders"""
@@ -878,9 +860,9 @@ def user_trend(unit: str = "month") -> str:
     FROM uploaded WHERE date IS NOT NULL GROUP BY 1 ORDER BY 1"""
 
 
-PERIOD_CHANGE = f"""SELECT * FROM (SELECT *, {rounded(change(
-    'revenue', 'lag(revenue) OVER (ORDER BY period)'), 1)} AS change_pct FROM ({user_trend()}))
-    WHERE change_pct IS NOT NULL"""
+PERIOD_CHANGE = f"""SELECT * EXCLUDE n FROM (SELECT *, {rounded(change(
+    'revenue', 'lag(revenue) OVER (ORDER BY period)'), 1)} AS change_pct,
+    row_number() OVER (ORDER BY period) AS n FROM ({user_trend()})) WHERE n > 1"""
 
 MARGIN_TREND = f"SELECT *, {rounded(percent('profit', 'revenue'))} AS margin_pct FROM ({user_trend()})"
 
@@ -1178,8 +1160,16 @@ _STATEMENTS: dict[str, str] = {
     "target_vs_actual": target_vs_actual(TARGET_MONTH),
     "target_vs_actual_latest": target_vs_actual(None),
     "findings": findings(TARGET_MONTH),
-    "csv_scan": "SELECT * FROM customer",
-    "tsv_scan": "SELECT * FROM part",
+    "csv_scan": f"SELECT *, doc_id + {LONG_ID} AS long_id FROM documents",
+    "tsv_scan": f"SELECT *, doc_id + {LONG_ID} AS long_id FROM documents",
+    "json_records": "SELECT * FROM conversations",
+    "json_record_array": "SELECT s_suppkey, s_name AS who_s_name, s_nationkey AS who_s_nationkey FROM supplier",
+    "json_object": """SELECT count(o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers_known,
+        max(o_custkey) AS customers_last FROM orders""",
+    "document_scan": "SELECT (sum(length(text) + 1))::BIGINT AS chars FROM documents",
+    "records": """SELECT '{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}' AS record
+        FROM labels""",
+    "retail_csv_catalog": "SELECT c_custkey::VARCHAR AS customer_id, c_mktsegment AS segment FROM customer",
     "candidate_join_keys": join_keys(),
     "primary_table": PRIMARY,
     "column_profile": COLUMN_PROFILE,
@@ -1188,7 +1178,6 @@ _STATEMENTS: dict[str, str] = {
     "suggested_mapping": suggested_mapping(),
     "candidate_columns": candidate_columns(),
     "canonical_frame": CANONICAL,
-    "capability_matrix": capability_matrix(),
     "data_quality_score": QUALITY,
     "date_window": "SELECT min(date)::VARCHAR AS start_date, max(date)::VARCHAR AS end_date FROM uploaded",
     "user_kpi_summary": USER_KPI,
@@ -1210,7 +1199,6 @@ _STATEMENTS: dict[str, str] = {
     "question_answers": question_answers(),
     "user_question_intents": user_question_intents(),
     "user_question_answers": user_question_answers(),
-    "supported_questions": supported_questions(),
     "document_numbers": DOCUMENT_NUMBERS,
     "document_grounding": DOCUMENT_GROUNDING,
     "numeric_grounding": "SELECT id, numbers_grounded FROM number_checks",

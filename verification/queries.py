@@ -27,14 +27,16 @@ from tallywise.functions.texts import shorten
 from tallywise.plans import findings as finding_plans
 from tallywise.plans import questions as question_plans
 from tallywise.plans import user_tables
-from tallywise.sources.files import read_csv, read_tsv
+from tallywise.sources.files import read_csv, read_documents, read_json, read_tsv, records
+from tallywise.sources.retail import load_retail_tables
 from verification import views
-from verification.scratch import as_delimited
+from verification.scratch import as_delimited, scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WINDOW = ("2000-01-01", "2000-12-31")
 TARGET_MONTH = "2001-07"
+LONG_ID = 1_234_567_890_000_000_000
 PROFILED = ("lineitem", "orders", "customer", "documents")
 MAPPED = ("orders", "lineitem", "customer", "part", "events", "documents", "benchmark", "nation", "supplier")
 
@@ -61,14 +63,60 @@ def _user(build: Callable) -> Query:
     return lambda spark, sf_dir: build(views.user_frame(spark, sf_dir))
 
 
+def _texts_with_long_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, whose texts hold quotes, separators and line breaks, with ids of 19 digits."""
+    return views.table(spark, sf_dir, "documents").withColumn("long_id", F.col("doc_id") + LONG_ID)
+
+
 def _csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as CSV and read back without a schema."""
-    return read_csv(spark, as_delimited(views.table(spark, sf_dir, "customer"), ","))
+    """Documents written as CSV and read back without a schema."""
+    return read_csv(spark, as_delimited(_texts_with_long_ids(spark, sf_dir), ","))
 
 
 def _tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts written as TSV and read back without a schema."""
-    return read_tsv(spark, as_delimited(views.table(spark, sf_dir, "part"), "\t"))
+    """Documents written as TSV and read back without a schema."""
+    return read_tsv(spark, as_delimited(_texts_with_long_ids(spark, sf_dir), "\t"))
+
+
+def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as one JSON object per line and read back."""
+    folder = scratch_folder(spark)
+    views.table(spark, sf_dir, "conversations").write.json(folder)
+    return read_json(spark, folder)[0]
+
+
+def _json_record_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as one JSON object with a list, the form of an upload, read back as rows."""
+    suppliers = views.table(spark, sf_dir, "supplier")
+    rows = F.collect_list(F.struct(F.col("s_suppkey"), F.struct("s_name", "s_nationkey").alias("who")))
+    folder = scratch_folder(spark)
+    suppliers.agg(F.to_json(F.struct(F.lit("all").alias("title"), rows.alias("rows")))).write.text(folder)
+    return read_json(spark, folder)[0]
+
+
+def _json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the orders as one nested JSON object, read back as one flat row."""
+    orders = views.table(spark, sf_dir, "orders")
+    customers = F.struct(F.count_distinct("o_custkey").alias("known"), F.max("o_custkey").alias("last"))
+    folder = scratch_folder(spark)
+    figures = F.struct(F.count("o_orderkey").alias("orders"), customers.alias("customers"))
+    orders.agg(F.to_json(figures)).write.text(folder)
+    return read_json(spark, folder)[0]
+
+
+def _document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as text files and read back whole: how many characters there are."""
+    folder = scratch_folder(spark)
+    views.table(spark, sf_dir, "documents").select("text").write.text(folder)
+    return read_documents(spark, folder).agg(F.sum(F.length("text")).alias("chars"))
+
+
+def _retail_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of the catalog written as CSV and loaded with their declared types."""
+    folder = scratch_folder(spark)
+    customers = views.retail(spark, sf_dir).customers.select("customer_id", "segment")
+    customers.write.option("header", True).csv(f"{folder}/customers.csv")
+    return load_retail_tables(spark, folder, "csv", only=("customers",)).customers
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
@@ -147,32 +195,6 @@ def _suggested_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = {
-        t: mapping.canonical_frame(views.table(spark, sf_dir, t), m)
-        for t, m in _mappings(spark, sf_dir).items()
-        if any(m.values())
-    }
-    frames["uploaded"] = views.user_frame(spark, sf_dir)
-    return profile.union_all(
-        [
-            _tagged(t, mapping.capability_matrix(spark, df.columns)).select(
-                "table_name", "analysis", "supported", F.array_join("missing", ", ").alias("missing")
-            )
-            for t, df in frames.items()
-        ]
-    )
-
-
-def _supported_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = _mappings(spark, sf_dir)
-    frames = {t: [c for c, name in m.items() if name] for t, m in maps.items()}
-    frames["uploaded"] = views.user_frame(spark, sf_dir).columns
-    return profile.union_all(
-        [_tagged(t, user_tables.supported_questions(spark, c)) for t, c in frames.items()]
-    )
-
-
 def _canonical_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A canonical frame from text columns: dates and numbers that do not all convert."""
     source = views.table(spark, sf_dir, "orders").select(
@@ -331,6 +353,12 @@ _BUILDERS: dict[str, Query] = {
     # any table
     "csv_scan": _csv_scan,
     "tsv_scan": _tsv_scan,
+    "json_records": _json_records,
+    "json_record_array": _json_record_array,
+    "json_object": _json_object,
+    "document_scan": _document_scan,
+    "records": lambda spark, sf_dir: records(views.table(spark, sf_dir, "labels")),
+    "retail_csv_catalog": _retail_csv,
     "candidate_join_keys": _join_keys,
     "primary_table": lambda spark, sf_dir: discover.primary_table(views.test_tables(spark, sf_dir)),
     "column_profile": _column_profile,
@@ -339,7 +367,6 @@ _BUILDERS: dict[str, Query] = {
     "suggested_mapping": _suggested_mapping,
     "candidate_columns": _candidate_columns,
     "canonical_frame": _canonical_sums,
-    "capability_matrix": _capabilities,
     "data_quality_score": _quality,
     "date_window": _user(generic.date_window),
     "user_kpi_summary": _user(generic.kpi_summary),
@@ -370,7 +397,6 @@ _BUILDERS: dict[str, Query] = {
     "user_question_answers": lambda spark, sf_dir: user_tables.answer_user_questions(
         views.user_frame(spark, sf_dir), views.questions(spark, sf_dir)
     ).drop("question"),
-    "supported_questions": _supported_questions,
     "document_numbers": _document_numbers,
     "document_grounding": _grounded_documents,
     "numeric_grounding": _texts_and_evidence(grounding.numbers_grounded),

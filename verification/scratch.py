@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names; a local one only without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A new folder below the shared one the session names; only a local session may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def as_delimited(df: DataFrame, sep: str) -> str:
     """Write a whole table as delimited files with headers; the folder they are in."""
     folder = scratch_folder(df.sparkSession)
-    df.write.option("header", True).option("sep", sep).csv(folder)
+    writer = df.write.option("header", True).option("sep", sep).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(folder)
     return folder
