@@ -126,6 +126,8 @@ class Lines(HTMLParser):
         pass
 
     def close(self) -> None:
+        if self.rawdata.startswith("<!--"):  # a comment without an end reaches to the end of the page
+            self.rawdata = ""
         super().close()
         self._end_line()
 
@@ -184,7 +186,7 @@ def main_text(html: str) -> str:
     else:  # the innermost element that holds at least nine tenths of the content
         chosen = {max(h for h in weight if weight[h] >= 0.9 * whole)}
     inside = [not chosen.isdisjoint(chain) for chain in chains]
-    if not named:  # no element marks the article: it reaches from the first to the last content line
+    if all(kinds[h] in ("html", "body") for h in chosen):  # it reaches from the first to the last content line
         good = np.flatnonzero(content & np.array(inside))
         inside = [x and good[0] <= i <= good[-1] for i, x in enumerate(inside)]
     return " ".join([t for t, x in zip(lines.texts, inside) if x])
