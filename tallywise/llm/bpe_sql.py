@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallywise.llm.common import chunks, looked_up, plain_texts
 
 WORDS_AT_ONCE = 40_000  # distinct words in one recursive query
-REMEMBERED = 1_000_000  # pieces that a worker process keeps from batch to batch
-CHARS_AT_ONCE = 8_000_000
+REMEMBERED = 400_000  # pieces that a worker process keeps from batch to batch
+CHARS_AT_ONCE = 4_000_000
 # A row's place is word << 32 | pos, so that one order serves all words. A round holds all rows of the
 # words that are not finished; k joins rank and position, so its minimum is the leftmost lowest pair.
 CONTRACT = """
@@ -73,7 +73,7 @@ class Codec:
             if t[:k] in ranks and t[k:] in ranks
         ]
         pair = pa.array([(a << 32) + b for a, b, _ in merges], pa.int64())
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._table("merges", pair=pair, rank=pa.array([m[2] for m in merges], pa.int32()))
         ids = pa.array(list(ranks.values()), pa.int32())
         self._table("tokens", id=ids, shown=pa.array([f"{r}:{t.hex()}" for t, r in ranks.items()]))

@@ -26,8 +26,8 @@ LIMIT = 20  # bits of the longest code; enough for a million different ids
 BLOCK = 1 << 16
 STRIDE = 512
 PART_TOKENS = 8_000_000
-REMEMBERED = 1_200_000  # pieces that a worker process keeps from batch to batch
-CHARS_AT_ONCE = 6_000_000
+REMEMBERED = 800_000  # pieces that a worker process keeps from batch to batch
+CHARS_AT_ONCE = 4_000_000
 
 class Pieces:
     """The tokenizers library with a bounded memory of what it gave for pieces of text.
@@ -166,38 +166,41 @@ class Code:
         self.length_of[self.ids] = sizes
         self.code_of[self.ids] = firsts >> (self.bits - sizes)
         self.entry = np.repeat(np.arange(len(sizes)), spans)  # of every number of `bits` bits
-        self.entry_id, self.entry_size = self.ids[self.entry], sizes[self.entry]
+        self.entry_id, self.entry_size = self.ids[self.entry].astype(np.int32), sizes[self.entry]
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of the ids, and the bit offset of every STRIDE-th id."""
+        if not len(ids):
+            return b"", np.empty(0, np.int64)
         sizes = self.length_of[ids]
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        # a code of at most 25 bits that begins within an octet fits into four octets
-        quads = self.code_of[ids] << (32 - sizes - (starts & 7))
-        at, count = starts >> 3, int(ends[-1] + 7) >> 3 if len(ids) else 0
-        octets = np.zeros(count + 4, np.float64)
-        for k in range(4):
-            octets += np.bincount(at + k, weights=(quads >> (24 - 8 * k)) & 255, minlength=count + 4)
-        return octets[:count].astype(np.uint8).tobytes(), starts[::STRIDE]
+        # a code that begins within 32 bits ends within 64; codes of the same 32 bits stand together
+        word = starts >> 5
+        placed = self.code_of[ids].astype(np.uint64) << (64 - sizes - (starts & 31)).astype(np.uint64)
+        both = np.bitwise_or.reduceat(placed, np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1)))
+        words = np.zeros(len(both) + 1, np.uint64)
+        words[:-1] = both >> np.uint64(32)
+        words[1:] |= both & np.uint64(0xFFFFFFFF)
+        return words.astype(">u4").tobytes()[: int(ends[-1] + 7) >> 3], starts[::STRIDE]
 
     def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
         """The ids of several blocks; all checkpoints advance together, one id at a time."""
         padding = b"\0" * 8
-        octets = np.frombuffer(padding.join([*payloads, b""]), np.uint8).astype(np.uint32)
+        octets = np.frombuffer(padding.join([*payloads, b""]), np.uint8).astype(np.int64)
         quads = octets[:-3] << 24 | octets[1:-2] << 16 | octets[2:-1] << 8 | octets[3:]
         bases = np.cumsum([0, *[len(p) + len(padding) for p in payloads[:-1]]]) * 8
         bit = np.concatenate([b + np.asarray(c, np.int64) for b, c in zip(bases, checkpoints)])
         rows = np.concatenate(
             [np.minimum(STRIDE, n - STRIDE * np.arange(len(c))) for c, n in zip(checkpoints, counts)]
         )
-        out = np.zeros((len(bit), STRIDE), np.int64)
+        out = np.zeros((STRIDE, len(bit)), np.int32)
+        shift, mask = 32 - self.bits, (1 << self.bits) - 1
         for step in range(int(rows.max()) if len(rows) else 0):
-            window = quads[np.minimum(bit >> 3, len(quads) - 1)].astype(np.int64)
-            entry = window >> (32 - self.bits - (bit & 7)) & ((1 << self.bits) - 1)
-            out[:, step] = self.entry_id[entry]
-            bit = bit + self.entry_size[entry]
-        ids, first, decoded = out.reshape(-1), 0, []
+            entry = quads[np.minimum(bit >> 3, len(quads) - 1)] >> (shift - (bit & 7)) & mask
+            out[step] = self.entry_id[entry]
+            bit += self.entry_size[entry]
+        ids, first, decoded = out.T.reshape(-1), 0, []
         for c, n in zip(checkpoints, counts):
             decoded.append(ids[first : first + n])
             first += len(c) * STRIDE
@@ -285,8 +288,8 @@ def read_token_file(spark: SparkSession, folder: str, digest: bool = False) -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(ids, lengths)
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                rows = batch.slice(at, 16).to_pydict()
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64).to_pydict()
                 counts = [sum(n) for n in rows["doc_tokens"]]
                 decoded = code.decode(rows["payload"], [np.array(c) for c in rows["checkpoints"]], counts)
                 out = ([], [], [], [])
