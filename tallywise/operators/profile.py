@@ -156,11 +156,15 @@ def datelike_texts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    """Rows, columns and exact duplicate rows (all but the first copy); one row."""
-    keys = [identity_text(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    copies = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Rows, columns and exact duplicate rows (all but the first copy); one row.
+
+    Rows are compared by one SHA-256 digest, 32 bytes however wide they are. Each value
+    stands in it behind its length, so that neighbours cannot run into each other.
+    """
+    values = [identity_text(df, c) for c in df.columns]
+    marked = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    row = F.unhex(F.sha2(F.concat(F.lit(""), *marked), 256))
+    copies = df.select(row.alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     return copies.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.lit(len(df.columns)).alias("column_count"),

@@ -247,7 +247,7 @@ def findings_evidence(
     partners = zscore_outliers(
         delivery_performance(tables), "delayed_rate_pct", threshold, "delivery_partner_id"
     )
-    worst = headlines.returns(tables).select("category").scalar()
+    worst = headlines.worst_category(tables).select("category").scalar()
 
     def size(records: DataFrame, name: str) -> DataFrame:
         return records.agg(F.count(F.lit(1)).alias(name))

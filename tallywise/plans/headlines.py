@@ -56,9 +56,14 @@ def profitability(tables: RetailTables, window_days: int = WINDOW_DAYS) -> DataF
     return growth_gap(tables, window_days).filter(F.col("latest_end").isNotNull())
 
 
+def worst_category(tables: RetailTables) -> DataFrame:
+    """The category with the highest return rate."""
+    return _highest(return_analysis(tables), "return_rate_pct", "category")
+
+
 def returns(tables: RetailTables) -> DataFrame:
     """Worst category and the most frequent reason in it."""
-    worst = _highest(return_analysis(tables), "return_rate_pct", "category")
+    worst = worst_category(tables)
     by_reason = (
         tables.returns.filter(F.col("return_reason").isNotNull())
         .groupBy("product_id", "return_reason")

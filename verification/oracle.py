@@ -578,6 +578,81 @@ def findings(month: str | None) -> str:
     ORDER BY CASE severity {rank} ELSE {fixed.UNKNOWN_SEVERITY_RANK} END, ordinal"""
 
 
+def _evidence(topic: str, section: str, source: str, entity: str, measures: str, texts: str = "", flags: str = "") -> str:
+    """The numbers of every record: its measures, its flags as 0 and 1, and those written in its texts."""
+    found = [f"[{', '.join(one_place(c) for c in measures.split())}]"]
+    found += [f"[({c})::INT::DOUBLE]" for c in flags.split()]
+    found += [f"coalesce({numbers(c + '::VARCHAR')}, [])" for c in texts.split()]
+    lists = found[0]
+    for part in found[1:]:
+        lists = f"list_concat({lists}, {part})"
+    return f"""SELECT {text(fixed.FINDING_HEADS[topic][0])} AS finding_id, {text(section)} AS section,
+        {entity} AS entity, unnest(CASE WHEN len(found) = 0 THEN [NULL] ELSE found END) AS number
+        FROM (SELECT *, list_distinct({lists}) AS found FROM ({source}))"""
+
+
+def findings_evidence() -> str:
+    windows = [
+        f"{p}_{c}"
+        for p in ("latest", "previous")
+        for c in "revenue gross_profit margin_pct orders units avg_order_value return_value net_revenue".split()
+    ]
+    compared = ["window_days", *windows, *"revenue_pct gross_profit_pct margin_pp orders_pct growth_gap_pp".split()]
+    spots = "product_name category store_name region"
+    rows = fixed.EVIDENCE_HOTSPOT_ROWS
+    nobody = "NULL::VARCHAR"
+    worst = "(SELECT category FROM ret_top)"
+    parts = [
+        _evidence(
+            "profitability", "comparison",
+            f"SELECT {_comparison_columns(fixed.WINDOW_DAYS)}, {rounded('raw_gap')} AS growth_gap_pp, "
+            f"{_PRESSURE} AS margin_pressure FROM gap",
+            nobody, " ".join(compared), "latest_start latest_end previous_start previous_end", "margin_pressure",
+        ),
+        _evidence(
+            "returns", "by_category", "SELECT * FROM ret", "category",
+            "returned_units refund_value return_events units_sold return_rate_pct zscore", "category", "is_outlier",
+        ),
+        _evidence(
+            "returns", "top_category_reasons", reasons(f"return_reason IS NOT NULL AND category = {worst}"), nobody,
+            "events units refund_value", "return_reason",
+        ),
+        _evidence("returns", "sample_size", "SELECT count(*) AS n FROM ret", nobody, "n"),
+        _evidence(
+            "delivery", "by_partner", "SELECT * FROM del", "partner_name",
+            "total_deliveries delayed avg_rating avg_promised_days avg_actual_days delayed_rate_pct zscore",
+            "delivery_partner_id partner_name", "is_outlier",
+        ),
+        _evidence("delivery", "sample_size", "SELECT count(*) AS n FROM del", nobody, "n"),
+        _evidence(
+            "inventory", "summary", "SELECT * FROM imbalance", nobody,
+            "top_stockout_category_days top_excess_category_days affected_store_product_pairs_stockout "
+            "affected_store_product_pairs_excess",
+            "top_stockout_category top_excess_category",
+        ),
+        _evidence(
+            "inventory", "top_stockouts", hotspots("is_out", "stockout_days", rows), "category",
+            "store_id product_id stockout_days", spots,
+        ),
+        _evidence(
+            "inventory", "top_excess", hotspots("is_over", "excess_days", rows), "category",
+            "store_id product_id excess_days", spots,
+        ),
+        _evidence(
+            "marketing", "campaigns", CAMPAIGNS, "campaign_name", "spend attributed_revenue conversions roi",
+            "campaign_id campaign_name",
+        ),
+        _evidence(
+            "targets", "stores", "SELECT * FROM tgt", "store_name",
+            "store_id revenue_target gross_profit_target on_time_delivery_target_pct return_rate_target_pct "
+            "actual_revenue actual_gross_profit on_time_pct return_rate_pct revenue_attainment_pct "
+            "profit_attainment_pct on_time_gap_pp return_rate_gap_pp",
+            "month store_name region",
+        ),
+    ]
+    return f"WITH {_headline_ctes(None)}\n" + "\nUNION ALL ".join(parts)
+
+
 def _intent_case() -> str:
     profit = f"({has(fixed.PROFIT_PHRASES)} OR {has(fixed.STRONG_PROFIT_PHRASES)})"
     companion = " OR ".join(
@@ -1160,6 +1235,7 @@ _STATEMENTS: dict[str, str] = {
     "target_vs_actual": target_vs_actual(TARGET_MONTH),
     "target_vs_actual_latest": target_vs_actual(None),
     "findings": findings(TARGET_MONTH),
+    "findings_evidence": findings_evidence(),
     "csv_scan": f"SELECT *, doc_id + {LONG_ID} AS long_id FROM documents",
     "tsv_scan": f"SELECT *, doc_id + {LONG_ID} AS long_id FROM documents",
     "json_records": "SELECT * FROM conversations",

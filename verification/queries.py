@@ -276,8 +276,9 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retail_evidence(t) -> DataFrame:
+    """One row for each number of a record; a record without numbers has one without."""
     rows = finding_plans.findings_evidence(t)
-    return rows.select("finding_id", "section", "entity", F.array_join(F.array_sort("numbers"), " ").alias("numbers"))
+    return rows.select("finding_id", "section", "entity", F.explode_outer("numbers").alias("number"))
 
 
 def _findings(t) -> DataFrame:
