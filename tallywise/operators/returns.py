@@ -9,13 +9,16 @@ from tallywise.operators.enrich import dimension
 from tallywise.sources.retail import RetailTables
 
 
-def return_analysis(tables: RetailTables) -> DataFrame:
+def return_analysis(tables: RetailTables, top_reason: bool = False) -> DataFrame:
     """Returned units, refunds, events and return rate per category, worst first.
 
     Returns and sales are first summed per product, so the join with products sees
-    one row per product and side however many records a product has.
+    one row per product and side however many records a product has. With
+    ``top_reason`` returns are summed per product and reason in the same pass, and a
+    known category also gets its most frequent reason, of equal ones the first by name.
     """
-    returned = tables.returns.groupBy("product_id").agg(
+    keys = ["product_id", "return_reason"] if top_reason else ["product_id"]
+    returned = tables.returns.groupBy(*keys).agg(
         F.sum("quantity").alias("returned_units"),
         F.sum(money("refund_amount")).alias("refund_value"),
         F.count("return_id").alias("return_events"),
@@ -24,15 +27,25 @@ def return_analysis(tables: RetailTables) -> DataFrame:
     sold = tables.sales.groupBy("product_id").agg(F.sum("quantity").alias("units_sold"))
     by_product = returned.unionByName(sold, allowMissingColumns=True)
     categories = dimension(tables, "products").select("product_id", "category")
+    described = by_product.join(categories, "product_id", "left")
+    reasons = []
+    if top_reason:
+        sums = ("returned_units", "refund_value", "return_events", "units_sold")
+        described = described.groupBy("category", "return_reason").agg(
+            *[F.sum(c).alias(c) for c in sums], F.max("was_returned").alias("was_returned")
+        )
+        named = F.col("category").isNotNull() & F.col("return_reason").isNotNull()
+        place = F.when(named & F.col("was_returned"), F.struct(-F.col("return_events"), "return_reason"))
+        reasons = [F.min_by("return_reason", place).alias("top_reason")]
     return (
-        by_product.join(categories, "product_id", "left")
-        .groupBy("category")
+        described.groupBy("category")
         .agg(
             F.coalesce(F.sum("returned_units"), F.lit(0)).cast("bigint").alias("returned_units"),
             total("refund_value").alias("refund_value"),
             F.coalesce(F.sum("return_events"), F.lit(0)).alias("return_events"),
             F.sum("units_sold").cast("bigint").alias("units_sold"),
             F.max("was_returned").alias("was_returned"),
+            *reasons,
         )
         .filter("was_returned")
         .select(
@@ -42,6 +55,7 @@ def return_analysis(tables: RetailTables) -> DataFrame:
             "return_events",
             "units_sold",
             round_to(percent("returned_units", "units_sold")).alias("return_rate_pct"),
+            *(["top_reason"] if top_reason else []),
         )
         .orderBy(F.desc_nulls_last("return_rate_pct"), F.asc_nulls_last("category"))
     )

@@ -16,8 +16,8 @@ def target_vs_actual(tables: RetailTables, month: str | None = None) -> DataFram
 
     Sales, deliveries and refunds of the month are each summed per store and stacked,
     so one small grouping replaces a chain of joins. A refund belongs to the store
-    that sold the order: refunds are summed per order first, and every order has one
-    row on the other side, so a much-returned order cannot blow up the join.
+    that sold the order: refunds are summed per order first, so a much-returned order
+    is one row in the join with the sales, and returns are read once.
     """
     first_day = F.to_date(F.concat(F.lit(month) if month else F.max("month"), F.lit("-01")))
     if month is None:
@@ -48,12 +48,12 @@ def target_vs_actual(tables: RetailTables, month: str | None = None) -> DataFram
         .groupBy("order_id")
         .agg(F.sum(money("refund_amount")).alias("refund"))
     )
-    # only the orders refunded in the month, not all sales ever
-    refunded_sales = tables.sales.join(refunds.select("order_id"), "order_id", "left_semi")
-    order_store = refunded_sales.groupBy("order_id").agg(F.min("store_id").alias("store_id"))
-    refunded = (
-        refunds.join(order_store, "order_id").groupBy("store_id").agg(F.sum("refund").alias("refund"))
+    # one row per refunded order meets that order's sales; the grouping needs no shuffle of its own
+    order_store = refunds.join(tables.sales.select("order_id", "store_id"), "order_id")
+    order_store = order_store.groupBy("order_id").agg(
+        F.min("store_id").alias("store_id"), F.max("refund").alias("refund")
     )
+    refunded = order_store.groupBy("store_id").agg(F.sum("refund").alias("refund"))
     stacked = sold.unionByName(delivered, allowMissingColumns=True).unionByName(
         refunded, allowMissingColumns=True
     )

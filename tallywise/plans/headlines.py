@@ -13,7 +13,6 @@ from tallywise.fixed_values import FINDING_OUTLIER_THRESHOLD, WINDOW_DAYS
 from tallywise.functions.numbers import money, ratio, round_to
 from tallywise.operators.breakdown import breakdown_by, segment_value, store_team_performance
 from tallywise.operators.delivery import delivery_performance
-from tallywise.operators.enrich import dimension
 from tallywise.operators.inventory import inventory_imbalance
 from tallywise.operators.kpi import growth_gap
 from tallywise.operators.marketing import best_and_worst_campaign
@@ -63,20 +62,7 @@ def worst_category(tables: RetailTables) -> DataFrame:
 
 def returns(tables: RetailTables) -> DataFrame:
     """Worst category and the most frequent reason in it."""
-    worst = worst_category(tables)
-    by_reason = (
-        tables.returns.filter(F.col("return_reason").isNotNull())
-        .groupBy("product_id", "return_reason")
-        .agg(F.count("return_id").alias("events"))
-        .join(dimension(tables, "products").select("product_id", "category"), "product_id")
-        .groupBy("category", "return_reason")
-        .agg(F.sum("events").alias("events"))
-        .groupBy("category")
-        .agg(
-            F.min_by("return_reason", F.struct(-F.col("events"), "return_reason")).alias("top_reason")
-        )
-    )
-    return worst.join(by_reason, "category", "left")
+    return _highest(return_analysis(tables, top_reason=True), "return_rate_pct", "category")
 
 
 def delivery(tables: RetailTables) -> DataFrame:
