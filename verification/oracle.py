@@ -6,7 +6,7 @@ import re
 
 from tallywise import fixed_values as fixed
 from verification.queries import LONG_ID, MAPPED, PROFILED, TARGET_MONTH, WINDOW
-from verification.views import QUESTION_FORMS
+from verification.views import QUESTION_FORMS, TEST_TABLES
 
 # ---------------------------------------------------------------------------
 # Small SQL pieces
@@ -879,15 +879,8 @@ CANONICAL = """SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END::VARCHA
 
 
 def join_keys() -> str:
-    """Names ending like identifiers, per table of the catalog in its order."""
+    """Names ending like identifiers: of the given tables as the database describes them, of the views as written."""
     tables = {
-        "events": ["event_id", "user_id"],
-        "documents": ["doc_id"],
-        "embeddings": ["vec_id"],
-        "pages": ["page_id"],
-        "benchmark": ["item_id"],
-        "labels": ["doc_id"],
-        "conversations": ["conv_id"],
         "sales": ["order_id", "customer_id", "product_id", "store_id"],
         "products": ["product_id"],
         "stores": ["store_id"],
@@ -906,18 +899,36 @@ def join_keys() -> str:
         "delivery_partners": "orders", "marketing": "events", "inventory_daily": "events",
         "targets": "orders",
     }
+    ends = "|".join(fixed.IDENTIFIER_SUFFIXES)
     parts = [
+        f"SELECT {i} AS o, {text(t)} AS t, lower(trim(column_name)) AS column_name FROM (DESCRIBE {t}) "
+        f"WHERE regexp_matches(lower(trim(column_name)), '({ends})$') AND EXISTS (SELECT 1 FROM {t})"
+        for i, t in enumerate(TEST_TABLES)
+    ]
+    parts += [
         f"SELECT {i} AS o, {text(t)} AS t, unnest([{', '.join(text(k) for k in keys)}]) AS column_name "
-        f"WHERE EXISTS (SELECT 1 FROM {base.get(t, t)})"
-        for i, (t, keys) in enumerate(tables.items())
+        f"WHERE EXISTS (SELECT 1 FROM {base[t]})"
+        for i, (t, keys) in enumerate(tables.items(), len(TEST_TABLES))
     ]
     return f"""SELECT column_name, string_agg(t, ', ' ORDER BY o) AS tables,
     {text(fixed.SHARED_IDENTIFIER_NOTE)} AS note FROM ({' UNION ALL '.join(parts)})
     GROUP BY column_name HAVING count(*) > 1"""
 
 
-PRIMARY = """SELECT 'lineitem' AS table_name, true AS has_money, true AS has_date,
-    count(*) AS row_count FROM lineitem"""
+def primary() -> str:
+    """Columns and row counts as the database describes its tables."""
+    described = " UNION ALL ".join(
+        f"SELECT {i} AS o, {text(t)} AS t, (SELECT count(*) FROM {t}) AS n, lower(column_name) AS c, column_type AS k "
+        f"FROM (DESCRIBE {t})"
+        for i, t in enumerate(TEST_TABLES)
+    )
+    money, date = ("|".join(words) for words in (fixed.MONEY_NAME_WORDS, fixed.DATE_NAME_WORDS))
+    numeric = r"(TINYINT|SMALLINT|INTEGER|BIGINT|HUGEINT|FLOAT|DOUBLE|DECIMAL\(.*\))"
+    return f"""SELECT t AS table_name,
+    bool_or(regexp_matches(c, '{money}') AND regexp_full_match(k, '{numeric}')) AS has_money,
+    bool_or(regexp_matches(c, '{date}')) AS has_date, any_value(n) AS row_count
+    FROM ({described}) WHERE n > 0 GROUP BY o, t
+    ORDER BY has_money DESC, has_date DESC, row_count DESC, o LIMIT 1"""
 
 
 # ---------------------------------------------------------------------------
@@ -1247,7 +1258,7 @@ _STATEMENTS: dict[str, str] = {
         FROM labels""",
     "retail_csv_catalog": "SELECT c_custkey::VARCHAR AS customer_id, c_mktsegment AS segment FROM customer",
     "candidate_join_keys": join_keys(),
-    "primary_table": PRIMARY,
+    "primary_table": primary(),
     "column_profile": COLUMN_PROFILE,
     "dataset_profile": dataset_profile(),
     "datelike_columns": DATELIKE,
