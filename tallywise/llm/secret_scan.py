@@ -35,6 +35,7 @@ MORE_RULES = (
 RULES = (*BASE_RULES, *MORE_RULES)
 SPELLED = 8  # sets of up to so many characters are spelled out
 ALTERNATIVES = 64  # a query of more alternatives counts as none
+BLOCK = 256  # matches of a text that are added up together, so that work grows in proportion to them
 
 TRUE: Query = Query([frozenset()])
 
@@ -132,8 +133,25 @@ def _spans(text: Column, rule) -> Column:
         kept = F.when(match["counted"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("place"), kept.alias("spans"))
 
-    start = F.struct(F.lit(0).cast("long").alias("place"), empty.alias("spans"))
-    return F.aggregate(matches, start, step, lambda state: state["spans"])
+    def add(state: Column, block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(state["place"].alias("place"), empty.alias("spans")),
+            step,
+            lambda own: F.struct(own["place"].alias("place"), F.concat(state["blocks"], F.array(own["spans"])).alias("blocks")),
+        )
+
+    def blocks(found: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int"))
+        return F.transform(number, lambda i: F.slice(found, i * BLOCK + 1, F.lit(BLOCK)))
+
+    none = F.array().cast("array<array<struct<start:long,at:int,kind:string,end:long>>>")
+    start = F.struct(F.lit(0).cast("long").alias("place"), none.alias("blocks"))
+    # an array of one binds the matches to a name, so the expression runs once
+    whole = F.transform(
+        F.array(matches), lambda found: F.aggregate(blocks(found), start, add, lambda state: F.flatten(state["blocks"]))
+    )
+    return whole[0]
 
 
 def _shown(spans: Column) -> Column:

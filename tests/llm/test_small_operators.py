@@ -260,6 +260,14 @@ def test_spans_equal_brute_force(spark):
     assert secret_scan.scanned(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 1000])
+def test_many_secrets_in_one_text(spark, n):
+    rows = spark.createDataFrame([(1, "é 0123456789abcdef" * n)], "doc_id long, text string")
+    (found,) = secret_scan.scanned(rows).collect()
+    assert found.n_hex == n
+    assert found.base_spans == ",".join(f"hex:{18 * i + 2}:{18 * i + 18}" for i in range(n))
+
+
 def test_queries_of_the_index():
     assert secret_scan.trigram_query(r"[0-9a-f]{16,}") == secret_scan.TRUE
     assert secret_scan.trigram_query(r"AKIA[A-Z]+") == frozenset([frozenset(["aki", "kia"])])
