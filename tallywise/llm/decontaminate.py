@@ -193,16 +193,18 @@ def contaminated(
         bits = np.zeros(size // 8, np.uint8)
         np.bitwise_or.at(bits, (slots >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slots & np.uint64(7)).astype(np.uint8))
         places = _places(rows, spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(bits), lengths, longest + SPAN)
+        places = places.withColumn("slice", F.lit(number))  # every slice cuts stretches of its own
         found = places if found is None else found.union(places)
     found = stored(found)
-    hits = found.select("doc_id", "text_hash", "first", F.explode(F.arrays_zip("hits", "at")).alias("h"))
-    hits = hits.select("doc_id", "text_hash", "first", F.col("h.hits").alias("hash"), F.col("h.at").alias("at"))
+    hits = found.select("doc_id", "text_hash", "first", "slice", F.explode(F.arrays_zip("hits", "at")).alias("h"))
+    hits = hits.select("doc_id", "text_hash", "first", "slice", F.col("h.hits").alias("hash"), F.col("h.at").alias("at"))
     seeded = seeded.select("item", "n", "item_words", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
     where = F.col("at") - F.col("place")
-    shifts = hits.join(seeded, "hash").select("doc_id", "text_hash", "first", "item", "n", "item_words", where.alias("shift")).distinct()
-    stretches = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("first").alias("f"), "words").dropDuplicates(["d", "t", "f"])
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("first") == F.col("f"))
-    overlaps = _agreement(shifts.join(stretches, same).drop("d", "t", "f"))
+    shifts = hits.join(seeded, "hash").select("doc_id", "text_hash", "first", "slice", "item", "n", "item_words", where.alias("shift")).distinct()
+    named = [F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("first").alias("f"), F.col("slice").alias("s")]
+    stretches = found.select(*named, "words").dropDuplicates(["d", "t", "f", "s"])
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("first") == F.col("f")) & (F.col("slice") == F.col("s"))
+    overlaps = _agreement(shifts.join(stretches, same).drop("d", "t", "f", "s"))
     best = Window.partitionBy("doc_id", "text_hash", "item").orderBy(F.desc("n_equal"), "n_compared", "at")
     return overlaps.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
 

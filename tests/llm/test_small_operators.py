@@ -351,6 +351,24 @@ def test_slices_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert exact <= {r.doc_id for r in decontaminate.contaminated(table["documents"], table["benchmark"]).collect()}
 
 
+def test_slices_do_not_share_their_stretches(spark, monkeypatch):
+    """Short items, found by few hashes in different slices, in stretches that begin at the same word."""
+    items = [[f"i{i}_{k}" for k in range(11)] for i in range(4)]
+    rows, want = [], {}
+    for a in range(4):
+        for b in range(4):
+            if a != b:
+                words = [f"x{k}" for k in range(60)]
+                words[4:15], words[20:31] = items[a], items[b]
+                want |= {(len(rows), a): 11, (len(rows), b): 11}
+                rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "SLICE", 3)
+    found = {(r.doc_id, r.item): r.n_equal for r in decontaminate.contaminated(df, benchmark).collect()}
+    assert found == want
+
+
 # pipeline
 
 
