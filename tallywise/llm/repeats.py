@@ -1,14 +1,16 @@
-"""Removal of word sequences that stand anywhere else, found by recompression.
+"""Removal of word sequences that stand anywhere else, found by anchors (minimisers).
 
-Recompression renames a text in rounds. The first round names runs of two equal words and then pairs
-of neighbours of which the first is in the left and the second in the right half of all symbols; the
-second round names pairs again. A name is a hash of what it stands for, so all tasks give equal runs
-and pairs the same name and no table of names has to travel. Whether two neighbours are joined
-depends on them and their next neighbours only. So two equal passages get equal symbols except for
-at most EDGE words at either end, and a symbol covers at most EDGE words.
+This is not recompression over several rounds: one local pass orders the places of a text, and the
+place of the least name is an anchor. The pass names runs of two equal words and then pairs of
+neighbours of which the first is in the left and the second in the right half of all symbols. A name
+is a hash of what it stands for, so all tasks give equal runs and pairs the same name and no table of
+names has to travel. Whether two neighbours are joined depends on them and their next neighbours
+only. So two equal passages get equal symbols except for at most EDGE words at either end, and a
+symbol covers at most EDGE words. A window of 35 words has room for one
+round only, if the symbols in its middle are to be certain.
 
 Among the symbols that begin in a stretch of STRETCH words, that of the least name is an anchor. Its
-high-level symbol is the name of BEFORE + AFTER words around it. Every window of 35 words holds a
+high-level symbol is a plain hash of the BEFORE + AFTER words around it. Every window of 35 words holds a
 whole stretch with enough space on both sides, so if a window stands elsewhere, its anchor has the
 same high-level symbol there. The steps are
 
