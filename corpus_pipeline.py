@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywise.llm import bpe_sql, decontaminate, near_copies, secret_scan, site_quality
+from tallywise.llm import bpe_sql, decontaminate, secret_scan, simhash_golay, site_quality
 from tallywise.llm.common import ship_package, stored, table
 
 
@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a 5-word Jaccard similarity of 0.8 or more, that with the smallest id."""
+    """One document of each group linked by fingerprints of 4-word shingles within four bits, that with the smallest id."""
     ship_package(spark)
-    return near_copies.without_near_copies(docs)
+    return simhash_golay.without_near_duplicates(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
