@@ -1,3 +1,44 @@
 """SQL twins of the registered queries of the text operators, where SQL can express them."""
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op13_collocations"] = r"""
+WITH pieces AS (
+    SELECT g, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM (SELECT coalesce(lang, 'und') AS g,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+          FROM documents)
+), worded AS (
+    SELECT g, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), spans AS (
+    SELECT g, w, unnest([1, 2, 3, 4]) AS k FROM worded WHERE len(w) > 0
+), grams AS (
+    SELECT g, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM spans WHERE len(w) >= k
+), f AS (
+    SELECT g, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM grams GROUP BY 1, 2, 3
+), sizes AS (
+    SELECT g, sum(n)::BIGINT AS n FROM f WHERE words = 1 GROUP BY g
+), c AS (
+    SELECT g, phrase, words, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 30
+), cuts AS (
+    SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, words)) AS k FROM c)
+), scored AS (
+    SELECT c.g, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a // (x.n + y.n))::BIGINT AS score
+    FROM cuts c JOIN f x ON x.g = c.g AND x.phrase = c.head JOIN f y ON y.g = c.g AND y.phrase = c.tail
+), lowest AS (
+    SELECT g, phrase, a, l, r, score FROM scored
+    QUALIFY row_number() OVER (PARTITION BY g, phrase ORDER BY score, k) = 1
+), inner_spans AS (
+    SELECT g, a, w, words, unnest(range(2, words)) AS k FROM c WHERE words > 2
+), inner_phrases AS (
+    SELECT g, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, words - k + 2)) AS i FROM inner_spans) GROUP BY 1, 2
+), ranked AS (
+    SELECT g, phrase, a, l, r, score,
+           row_number() OVER (PARTITION BY g ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+    FROM lowest LEFT JOIN inner_phrases USING (g, phrase)
+    WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)
+)
+SELECT g AS lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (g) WHERE rank <= 2000
+"""

@@ -10,6 +10,7 @@ import public_tokenizers
 
 from tallywise.llm import (
     bpe_sql,
+    collocations,
     decontaminate,
     language_id,
     page_text,
@@ -81,6 +82,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sql.encoded(documents, vocabulary, public_tokenizers.PATTERN, outputs=outputs)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+    return found.withColumnRenamed("g", "lang")
+
+
 _BUILDERS: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -92,6 +98,7 @@ _BUILDERS: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op13_collocations": op13_collocations,
 }
 
 
