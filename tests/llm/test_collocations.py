@@ -90,7 +90,7 @@ def test_small_summaries_and_filters_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(co, "SPARSE", 1)
     assert found(df, counters=300, most=15) == want
     monkeypatch.setattr(co, "HELD", 50)
-    assert found(df, counters=50) == want
+    assert found(df, counters=2) == want
 
 
 def test_a_summary_keeps_its_promise():
@@ -109,8 +109,8 @@ def test_a_summary_keeps_its_promise():
 
 def test_scores_beyond_64_bits(spark, monkeypatch):
     """2,000,000 times a count of 10^13 passes 64 bits."""
-    counts = [("en", "a", 1, 9 * 10**12), ("en", "b", 1, 7 * 10**12), ("en", "a b", 2, 6 * 10**12)]
-    held = spark.createDataFrame(counts, "g string, phrase string, words int, n long")
+    words, longer = [("en", "a", 9 * 10**12), ("en", "b", 7 * 10**12)], [("en", "a b", 6 * 10**12)]
+    held = [spark.createDataFrame(x, "g string, phrase string, n long") for x in (words, longer)]
     monkeypatch.setattr(co, "phrase_counts", lambda *_: held)
     (row,) = found(spark.createDataFrame([], SCHEMA))
     assert row == ("en", 1, "a b", 6 * 10**12, 9 * 10**12, 7 * 10**12, 16 * 10**12, 2_000_000 * 6 // 16)
