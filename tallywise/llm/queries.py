@@ -12,7 +12,9 @@ from tallywise.llm import (
     bpe_sql,
     collocations,
     decontaminate,
+    hilbert_search,
     language_id,
+    merkle,
     page_text,
     quality_rules,
     repeats,
@@ -82,6 +84,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sql.encoded(documents, vocabulary, public_tokenizers.PATTERN, outputs=outputs)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = {"n_chars": F.col("n_chars") + 1}
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    rows = merkle.leaves(table(spark, sf_dir, "documents"), fields, "doc_id", "lang", changed, chosen)
+    return merkle.manifest(rows).checked().drop("g")
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
     return found.withColumnRenamed("g", "lang")
@@ -98,6 +112,8 @@ _BUILDERS: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_nearest_vectors": op12_nearest_vectors,
     "op13_collocations": op13_collocations,
 }
 
