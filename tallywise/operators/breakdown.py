@@ -10,21 +10,30 @@ from tallywise.operators.enrich import described, dimension, key_of
 from tallywise.operators.summaries import as_numbers, money_sums, sums_and_distinct
 from tallywise.sources.retail import RetailTables
 
+MANY_VALUES = ("product_name", "product_id", "customer_id")
+_COUNTED = {"orders": "order_id"}
+
 
 def _by_dimension(tables: RetailTables, sales: DataFrame, column: str, sums: dict, counted: dict) -> DataFrame:
-    through = (key_of(column),)
-    if through == (column,):
-        return sums_and_distinct(sales, [column], sums, counted)
-    return sums_and_distinct(sales, [column], sums, counted, through, lambda df: described(df, tables, column))
+    """Totals and counts per value of a column of the sales or of one dimension table.
+
+    What is known about products or customers is joined to the sales as they are read, narrowed to the
+    key, the amounts and the ids: without a shuffle if the dimension is small enough to be sent along,
+    else by its key. From there on rows are combined per value. Values that are keys of their own, like
+    products, are too many for bitmaps.
+    """
+    narrow = dict.fromkeys([key_of(column), "revenue", "gross_profit", "quantity", *counted.values()])
+    rows = described(sales.select(*narrow), tables, column)
+    return sums_and_distinct(rows, [column], sums, counted, few=column not in MANY_VALUES)
 
 
 def breakdown_by(
-    tables: RetailTables, dimension_name: str, start=None, end=None, top_n: int | None = None
+    tables: RetailTables, dimension_name: str, start=None, end=None, top_n: int | None = None, orders: bool = True
 ) -> DataFrame:
     """Revenue, profit, units, distinct orders and margin per value, best first.
 
-    Sales are summed per key and order before the one table that holds the dimension
-    is joined; the date filter sits below the sums.
+    Only the one table that holds the dimension is joined; the date filter sits below the join.
+    Without ``orders`` they are not counted, and sales need no order_id.
     """
     if dimension_name not in DIMENSION_COLUMNS:
         raise ValueError(f"Unknown dimension '{dimension_name}'. Options: {list(DIMENSION_COLUMNS)}")
@@ -33,7 +42,7 @@ def breakdown_by(
     if start is not None and end is not None:
         sales = sales.filter(F.col("order_date").between(start, end))
     ranked = (
-        _by_dimension(tables, sales, column, money_sums() | {"units": F.col("quantity")}, {"orders": "order_id"})
+        _by_dimension(tables, sales, column, money_sums() | {"units": F.col("quantity")}, _COUNTED if orders else {})
         .withColumns(as_numbers() | {"units": F.coalesce("units", F.lit(0)).cast("bigint")})
         .withColumnRenamed(column, dimension_name)
         .withColumn(
@@ -47,12 +56,14 @@ def breakdown_by(
     return ranked.withColumns({c: round_to(c) for c in ("revenue", "gross_profit", "margin_pct")})
 
 
-def store_team_performance(tables: RetailTables) -> DataFrame:
+def store_team_performance(tables: RetailTables, orders: bool = True) -> DataFrame:
     """Store results per head; sales are known per store, not per employee.
 
-    Sales and staff are both summed per store before anything is joined.
+    Sales and staff are both summed per store before anything is joined. Without ``orders`` they are
+    not counted.
     """
-    sold = sums_and_distinct(tables.sales, ["store_id"], money_sums(), {"orders": "order_id"}).withColumns(as_numbers())
+    counted = _COUNTED if orders else {}
+    sold = sums_and_distinct(tables.sales, ["store_id"], money_sums(), counted).withColumns(as_numbers())
     staff = (
         tables.employees.filter(F.col("store_id").isNotNull())
         .groupBy("store_id")
@@ -71,7 +82,7 @@ def store_team_performance(tables: RetailTables) -> DataFrame:
             "region",
             round_to("revenue").alias("revenue"),
             round_to("gross_profit").alias("gross_profit"),
-            "orders",
+            *counted,
             round_to(percent("gross_profit", "revenue")).alias("margin_pct"),
             "headcount",
             "managers",
@@ -82,9 +93,9 @@ def store_team_performance(tables: RetailTables) -> DataFrame:
     )
 
 
-def segment_value(tables: RetailTables) -> DataFrame:
-    """Revenue, orders and customers per customer segment, best first."""
-    counted = {"orders": "order_id", "customers": "customer_id"}
+def segment_value(tables: RetailTables, orders: bool = True) -> DataFrame:
+    """Revenue, orders and customers per customer segment, best first. Without ``orders`` they are not counted."""
+    counted = (_COUNTED if orders else {}) | {"customers": "customer_id"}
     return (
         _by_dimension(tables, tables.sales, "customer_segment", money_sums(), counted)
         .withColumns(as_numbers())
@@ -93,8 +104,7 @@ def segment_value(tables: RetailTables) -> DataFrame:
             "customer_segment",
             round_to("revenue").alias("revenue"),
             round_to("gross_profit").alias("gross_profit"),
-            "orders",
-            "customers",
+            *counted,
             round_to(percent("gross_profit", "revenue")).alias("margin_pct"),
             round_to(ratio("revenue", "customers")).alias("revenue_per_customer"),
         )

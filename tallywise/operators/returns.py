@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywise.functions.numbers import money, percent, round_to, total
 from tallywise.operators.enrich import dimension
+from tallywise.operators.lattice import RETURN_EVENTS
 from tallywise.sources.retail import RetailTables
 
 
+def _events(returns: DataFrame) -> Column:
+    """How many returns there are, in the table of returns or in a summary that has counted them."""
+    if RETURN_EVENTS in returns.columns:
+        return F.coalesce(F.sum(RETURN_EVENTS), F.lit(0)).cast("bigint")
+    return F.count("return_id")
+
+
 def return_analysis(tables: RetailTables, top_reason: bool = False) -> DataFrame:
     """Returned units, refunds, events and return rate per category, worst first.
 
@@ -21,7 +29,7 @@ def return_analysis(tables: RetailTables, top_reason: bool = False) -> DataFrame
     returned = tables.returns.groupBy(*keys).agg(
         F.sum("quantity").alias("returned_units"),
         F.sum(money("refund_amount")).alias("refund_value"),
-        F.count("return_id").alias("return_events"),
+        _events(tables.returns).alias("return_events"),
         F.lit(True).alias("was_returned"),
     )
     sold = tables.sales.groupBy("product_id").agg(F.sum("quantity").alias("units_sold"))
@@ -70,7 +78,7 @@ def return_reasons(tables: RetailTables, category: str | Column) -> DataFrame:
         tables.returns.filter(F.col("return_reason").isNotNull())
         .groupBy("product_id", "return_reason")
         .agg(
-            F.count("return_id").alias("events"),
+            _events(tables.returns).alias("events"),
             F.sum("quantity").alias("units"),
             F.sum(money("refund_amount")).alias("refund_value"),
         )

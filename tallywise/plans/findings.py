@@ -15,6 +15,7 @@ from tallywise.operators.delivery import delivery_performance
 from tallywise.operators.grounding import record_entity, record_measures, record_numbers
 from tallywise.operators.inventory import excess_hotspots, inventory_imbalance, stockout_hotspots
 from tallywise.operators.kpi import growth_gap
+from tallywise.operators.lattice import Lattice, lattice
 from tallywise.operators.marketing import campaign_roi
 from tallywise.operators.profile import union_all
 from tallywise.operators.returns import return_analysis, return_reasons
@@ -210,17 +211,24 @@ def targets_finding(tables: RetailTables, month: str | None = None) -> DataFrame
 
 
 def findings(
-    tables: RetailTables, window_days: int = fixed.WINDOW_DAYS, month: str | None = None
+    tables: RetailTables,
+    window_days: int = fixed.WINDOW_DAYS,
+    month: str | None = None,
+    summed: Lattice | None = None,
 ) -> DataFrame:
-    """All six findings, most severe first, equal ones in the order of the topics."""
+    """All six findings, most severe first, equal ones in the order of the topics.
+
+    Sales and returns are summed once for all topics, unless ``summed`` has them already.
+    """
+    summed = summed or lattice(tables)
     collected = union_all(
         [
-            profitability_finding(tables, window_days),
-            returns_finding(tables),
+            profitability_finding(summed.by_order, window_days),
+            returns_finding(summed.by_product),
             delivery_finding(tables),
             inventory_finding(tables),
             marketing_finding(tables),
-            targets_finding(tables, month),
+            targets_finding(summed.by_order, month),
         ]
     )
     return collected.orderBy(severity_rank(F.col("severity")), "ordinal")
@@ -238,25 +246,29 @@ def _evidence(records: DataFrame, topic: str, section: str) -> DataFrame:
 
 
 def findings_evidence(
-    tables: RetailTables, window_days: int = fixed.WINDOW_DAYS, month: str | None = None
+    tables: RetailTables,
+    window_days: int = fixed.WINDOW_DAYS,
+    month: str | None = None,
+    summed: Lattice | None = None,
 ) -> DataFrame:
-    """Every record a finding rests on, as JSON, with its name and its numbers."""
+    """Every record a finding rests on, as JSON, with its name and its numbers. ``summed`` as for ``findings``."""
+    summed = summed or lattice(tables)
     threshold = fixed.FINDING_OUTLIER_THRESHOLD
     rows = fixed.EVIDENCE_HOTSPOT_ROWS
-    categories = zscore_outliers(return_analysis(tables), "return_rate_pct", threshold, "category")
+    categories = zscore_outliers(return_analysis(summed.by_product), "return_rate_pct", threshold, "category")
     partners = zscore_outliers(
         delivery_performance(tables), "delayed_rate_pct", threshold, "delivery_partner_id"
     )
-    worst = headlines.worst_category(tables).select("category").scalar()
+    worst = headlines.worst_category(summed.by_product).select("category").scalar()
 
     def size(records: DataFrame, name: str) -> DataFrame:
         return records.agg(F.count(F.lit(1)).alias(name))
 
     return union_all(
         [
-            _evidence(growth_gap(tables, window_days), "profitability", "comparison"),
+            _evidence(growth_gap(summed.by_order, window_days), "profitability", "comparison"),
             _evidence(categories, "returns", "by_category"),
-            _evidence(return_reasons(tables, worst), "returns", "top_category_reasons"),
+            _evidence(return_reasons(summed.by_product, worst), "returns", "top_category_reasons"),
             _evidence(size(categories, "sample_size_categories"), "returns", "sample_size"),
             _evidence(partners, "delivery", "by_partner"),
             _evidence(size(partners, "sample_size_partners"), "delivery", "sample_size"),
@@ -264,6 +276,6 @@ def findings_evidence(
             _evidence(stockout_hotspots(tables, rows), "inventory", "top_stockouts"),
             _evidence(excess_hotspots(tables, rows), "inventory", "top_excess"),
             _evidence(campaign_roi(tables), "marketing", "campaigns"),
-            _evidence(target_vs_actual(tables, month), "targets", "stores"),
+            _evidence(target_vs_actual(summed.by_order, month), "targets", "stores"),
         ]
     )

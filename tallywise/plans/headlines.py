@@ -98,12 +98,12 @@ def targets(tables: RetailTables, month: str | None = None) -> DataFrame:
 
 
 def store_team(tables: RetailTables) -> DataFrame:
-    return store_team_performance(tables).limit(1)
+    return store_team_performance(tables, orders=False).limit(1)
 
 
 def segment(tables: RetailTables) -> DataFrame:
-    return segment_value(tables).limit(1)
+    return segment_value(tables, orders=False).limit(1)
 
 
 def leader(tables: RetailTables, dimension_name: str) -> DataFrame:
-    return breakdown_by(tables, dimension_name, top_n=1).withColumnRenamed(dimension_name, "leader")
+    return breakdown_by(tables, dimension_name, top_n=1, orders=False).withColumnRenamed(dimension_name, "leader")

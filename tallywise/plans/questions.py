@@ -8,6 +8,7 @@ from tallywise import fixed_values as fixed
 from tallywise.functions.numbers import show, show_count
 from tallywise.functions.sentences import sentence
 from tallywise.functions.texts import mentions
+from tallywise.operators.lattice import Lattice, lattice
 from tallywise.operators.profile import union_all
 from tallywise.plans import headlines
 from tallywise.plans.findings import inventory_slots
@@ -133,8 +134,12 @@ def _target_answer(tables: RetailTables) -> DataFrame:
     return _answer(headlines.targets(tables), "target_attainment", text)
 
 
-def answers(tables: RetailTables) -> DataFrame:
-    """(intent, dimension, answer): one row per intent that has data behind it."""
+def answers(tables: RetailTables, summed: Lattice | None = None) -> DataFrame:
+    """(intent, dimension, answer): one row per intent that has data behind it.
+
+    Sales and returns are summed once for all answers, unless ``summed`` has them already.
+    """
+    summed = summed or lattice(tables)
     spark = tables.sales.sparkSession
     fixed_answers = spark.createDataFrame(
         [
@@ -182,8 +187,8 @@ def answers(tables: RetailTables) -> DataFrame:
     return union_all(
         [
             fixed_answers,
-            _answer(headlines.store_team(tables), "employee_store_performance", staff),
-            _answer(headlines.segment(tables), "customer_segment_value", segment),
+            _answer(headlines.store_team(summed.by_order), "employee_store_performance", staff),
+            _answer(headlines.segment(summed.by_order), "customer_segment_value", segment),
             _answer(headlines.marketing(tables), "marketing_roi", marketing),
             _answer(headlines.delivery(tables), "delivery_partner_performance", delivery),
             _answer(
@@ -191,16 +196,17 @@ def answers(tables: RetailTables) -> DataFrame:
                 "inventory_imbalance",
                 sentence(fixed.INVENTORY_ANSWER, **inventory_slots()),
             ),
-            _target_answer(tables),
-            _answer(headlines.returns(tables), "returns_by_category", returns),
-            *[_leaders_answer(tables, d) for d in ("region", "store", "category")],
-            _growth_answer(tables),
+            _target_answer(summed.by_order),
+            _answer(headlines.returns(summed.by_product), "returns_by_category", returns),
+            *[_leaders_answer(summed.by_order, d) for d in ("region", "store")],
+            _leaders_answer(summed.by_product, "category"),
+            _growth_answer(summed.by_order),
         ]
     )
 
 
 def answer_questions(
-    tables: RetailTables, questions: DataFrame, text_col: str = "question"
+    tables: RetailTables, questions: DataFrame, text_col: str = "question", summed: Lattice | None = None
 ) -> DataFrame:
     """Every question with its intent and answer.
 
@@ -208,7 +214,7 @@ def answer_questions(
     data size, so they are broadcast and the questions stay where they are.
     """
     labelled = label_questions(questions, text_col)
-    answer = answers(tables).select(
+    answer = answers(tables, summed).select(
         F.col("intent").alias("_intent"), F.col("dimension").alias("_dimension"), "answer"
     )
     matches = (F.col("intent") == F.col("_intent")) & F.col("dimension").eqNullSafe(F.col("_dimension"))

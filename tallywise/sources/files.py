@@ -8,19 +8,18 @@ reason. A file that cannot be read is a row with an error, not an exception.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallywise import fixed_values as fixed
+from tallywise.sources.errors import DatasetError
+from tallywise.sources.json_files import json_records, read_json
 from tallywise.sources.retail import cleared, delimited_reader, strip_names
 
 
-class DatasetError(ValueError):
-    """A file that holds no table that could be analysed."""
-
-
 # ---------------------------------------------------------------------------
 # Delimited files
 # ---------------------------------------------------------------------------
@@ -104,75 +103,51 @@ def read_tsv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# JSON
+# Rows that cannot be read
 # ---------------------------------------------------------------------------
 
+_WHOLE_ROW = "_whole_row"
 
-def flatten(df: DataFrame) -> DataFrame:
-    """Nested objects as columns ``outer_inner`` at every depth; arrays stay arrays."""
-
-    def leaves(name: str, value: Column, dtype: T.DataType) -> list[Column]:
-        if isinstance(dtype, T.StructType) and dtype.fields:
-            found = []
-            for f in dtype.fields:
-                found += leaves(f"{name}_{f.name}", value.getField(f.name), f.dataType)
-            return found
-        names.append(name)
-        return [value.alias(name)]
 
-    names: list[str] = []
-    columns = []
-    for f in df.schema.fields:
-        columns += leaves(f.name, F.col(f"`{f.name}`"), f.dataType)
-    repeated = {n for n in names if names.count(n) > 1}
-    if repeated:
-        raise DatasetError(f"Flattened names collide: {sorted(repeated)}")
-    return df.select(*columns)
+def _with_bad_rows(spark: SparkSession, path: str, sep: str, schema: T.StructType | str, multi_line: bool) -> DataFrame:
+    """The columns of the schema, _file, _whole_row (null for a good row) and _cells: does the row have all its cells?
 
-
-def _is_json_lines(lines: DataFrame) -> bool:
-    """Are there at least two lines, each of them a complete object?"""
-    complete = F.col("value").rlike(r"^\s*\{") & F.json_object_keys("value").isNotNull()
-    if lines.limit(2).filter(complete).count() < 2:
-        return False
-    return lines.filter(~F.coalesce(complete, F.lit(False))).isEmpty()
+    Cells come as text first: so a row of another number of cells and a cell of another type are told apart.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    texts = T.StructType([*[T.StructField(f.name, T.StringType()) for f in wanted], T.StructField(_WHOLE_ROW, T.StringType())])
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _WHOLE_ROW).schema(texts)
+    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    missing = {f.name: F.col(f"`{f.name}`").isin(*fixed.MISSING_TEXTS) for f in wanted}
+    cells = {f.name: F.when(~missing[f.name], F.col(f"`{f.name}`")) for f in wanted}
+    typed = [cells[f.name].try_cast(f.dataType).alias(f.name) for f in wanted]
+    unfit = [cells[f.name].isNotNull() & cells[f.name].try_cast(f.dataType).isNull() for f in wanted]
+    misfit = reduce(lambda a, b: a | b, unfit)
+    shown = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in wanted]), {"ignoreNullFields": "false"})
+    whole = F.coalesce(F.col(_WHOLE_ROW), F.when(misfit, shown)).alias(_WHOLE_ROW)
+    return rows.select(*typed, "_file", whole, F.col(_WHOLE_ROW).isNull().alias("_cells"))
+
+
+def read_good_rows(
+    spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
+    """The rows of delimited files that have all cells of the schema, each of its type; see ``bad_rows`` for the others."""
+    rows = _with_bad_rows(spark, path, sep, schema, multi_line)
+    return rows.where(F.col(_WHOLE_ROW).isNull()).drop("_file", _WHOLE_ROW, "_cells")
 
 
-def read_json(spark: SparkSession, path: str, array_key: str | None = None) -> tuple[DataFrame, str]:
-    """A table from a JSON file and a note on how it was found.
+def bad_rows(
+    spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
+    """(file, row, reason) of the rows that ``read_good_rows`` leaves out.
 
-    A list of objects gives a row per object. An object gives the rows of its first
-    non-empty list of objects (or of ``array_key``), else one row. One object on every
-    line gives a row per line; tasks share such a file. Nested objects are flattened.
+    A row of the wrong number of cells is shown as it stands in the file, one with a cell of another type
+    as JSON of its cells. Texts that mean "no value" fit every type.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    if array_key is None and _is_json_lines(lines):
-        df = spark.read.option("mode", "FAILFAST").json(path)
-        return strip_names(flatten(df)), ""
-    whole = spark.read.text(path, wholetext=True)
-    shape = whole.select(
-        F.regexp_extract("value", r"^\s*(\S)", 1).alias("first"),
-        F.json_object_keys("value").alias("keys"),
-    ).first()
-    if shape is None or shape.first not in ("[", "{"):
-        raise DatasetError(fixed.NOT_A_TABLE_DETAIL)
-    df = spark.read.option("multiLine", True).json(path)
-    if "_corrupt_record" in df.columns:
-        raise DatasetError(fixed.PARSE_ERROR_DETAIL.format(error="malformed JSON"))
-    if not df.columns:
-        raise DatasetError(fixed.EMPTY_DATA_DETAIL)
-    if shape.first == "[":
-        return strip_names(flatten(df)), ""
-    lists = {
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
-    }
-    wanted = [array_key] if array_key else shape.keys or []
-    for key in wanted:
-        if key in lists and not (rows := df.select(F.inline(f"`{key}`"))).isEmpty():
-            return strip_names(flatten(rows)), fixed.ARRAY_KEY_DETAIL.format(key=key)
-    return strip_names(flatten(df)), fixed.SINGLE_OBJECT_DETAIL
+    rows = _with_bad_rows(spark, path, sep, schema, multi_line).where(F.col(_WHOLE_ROW).isNotNull())
+    reason = F.when(F.col("_cells"), fixed.CELL_TYPE_REASON).otherwise(fixed.CELL_COUNT_REASON)
+    return rows.select(F.col("_file").alias("file"), F.col(_WHOLE_ROW).alias("row"), reason.alias("reason"))
 
 
 # ---------------------------------------------------------------------------
@@ -180,15 +155,25 @@ def read_json(spark: SparkSession, path: str, array_key: str | None = None) -> t
 # ---------------------------------------------------------------------------
 
 
+def _name(path: Column) -> Column:
+    """The file's name without its folders, decoded, from `_metadata`."""
+    name = F.element_at(F.split(path, "/"), -1)  # encoded, but for plus signs
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_documents(
-    spark: SparkSession, path: str | list[str], max_chars: int | None = None
+    spark: SparkSession, path: str | list[str], max_chars: int | None = None, recursive: bool = False, glob: str | None = None
 ) -> DataFrame:
-    """(file, text) for text documents, whole unless ``max_chars`` is given."""
-    text = F.col("value") if max_chars is None else F.substring("value", 1, max_chars)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)  # encoded, but for plus signs
-    return spark.read.text(path, wholetext=True).select(
-        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file"), text.alias("text")
-    )
+    """(file, text) for text documents, one row per file, whole unless ``max_chars`` is given.
+
+    Bytes that are no UTF-8 become the replacement character; a byte order mark is kept.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
+    return reader.load(path).select(_name(F.col("_metadata.file_path")).alias("file"), text.alias("text"))
 
 
 # ---------------------------------------------------------------------------
@@ -198,20 +183,13 @@ def read_documents(
 READABLE = (".csv", ".tsv", ".json", ".txt", ".md")
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: what its name says it is. File contents are not read.
+def _any_case(extension: str) -> str:
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
 
-    Names come from the file listing, which also has the empty files a scan skips.
-    """
-    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    names = [(unquote(name),) for name in scanned.inputFiles()]
-    listed = (
-        spark.createDataFrame(names, "path string")
-        .join(scanned.select("path", "length"), "path", "left")
-        .withColumn("length", F.coalesce("length", F.lit(0)))
-    )
+
+def _classified(files: DataFrame) -> DataFrame:
+    """(path, file, extension, length, kind, status, detail) of (path, file, length): what a name says a file is."""
     known = (*fixed.STRUCTURED_EXTENSIONS, *fixed.DOCUMENT_EXTENSIONS)
-    ext = F.lower(F.regexp_extract("file", r"[^.](\.[^.]+)$", 1))
     e = F.col("extension")
     image, video = e.isin(*fixed.IMAGE_EXTENSIONS), e.isin(*fixed.VIDEO_EXTENSIONS)
     unknown = F.replace(
@@ -220,6 +198,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
         F.when(e == "", "no extension").otherwise(e),
     )
     no_reader = e.isin(*[x for x in known if x not in READABLE])
+    unread = F.replace(F.lit(fixed.NO_READER_DETAIL), F.lit("{extension}"), F.upper(F.substr(e, F.lit(2))))
     kind = (
         F.when(no_reader, "unsupported")
         .when(e.isin(*fixed.STRUCTURED_EXTENSIONS), "data")
@@ -227,8 +206,7 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
         .otherwise("unsupported")
     )
     return (
-        listed.withColumn("file", F.element_at(F.split("path", "/"), -1))
-        .withColumn("extension", ext)
+        files.withColumn("extension", F.lower(F.regexp_extract("file", r"[^.](\.[^.]+)$", 1)))
         .withColumn("kind", kind)
         .select(
             "path",
@@ -241,17 +219,91 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
             .when(F.col("kind") == "context", "extracted")
             .otherwise("declined")
             .alias("status"),
-            F.when(no_reader, F.replace(F.lit(fixed.NO_READER_DETAIL), F.lit("{extension}"), F.upper(F.substr(e, F.lit(2)))))
+            F.when(no_reader, unread)
             .when(F.col("kind") != "unsupported", "")
             .when(image, fixed.IMAGE_DETAIL)
             .when(video, fixed.VIDEO_DETAIL)
             .otherwise(unknown)
             .alias("detail"),
         )
-        .orderBy("path")
     )
 
 
+def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file below a folder: what its name says it is. File contents are not read.
+
+    Names and sizes are metadata columns of the scan, so the list of files is a table like any other.
+    A scan skips files without a byte; ``ingest`` lists them.
+    """
+    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    at = F.col("_metadata.file_path")
+    files = scanned.select(at.alias("path"), _name(at).alias("file"), F.col("_metadata.file_size").alias("length"))
+    return _classified(files).orderBy("path")
+
+
+def inventory_summary(spark: SparkSession, path: str) -> DataFrame:
+    """File, Type, Role, Size, Status and Detail of every file below a folder, after reading them all; one plan.
+
+    Rows of delimited files and of JSON are counted per file, characters of documents too, each kind by one
+    scan over all its files. A file that holds nothing, or cannot be read, has the status Error.
+    """
+    listed = file_inventory(spark, path)
+
+    def delimited(extension: str, sep: str) -> DataFrame:
+        reader = delimited_reader(spark, sep).option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(extension))
+        rows = reader.option("enforceSchema", True).schema("cell string").csv(path)
+        return rows.groupBy(F.col("_metadata.file_path").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+
+    records = json_records(spark, path, recursive=True, glob=_any_case(".json"))
+    objects = records.groupBy(F.col("file").alias("of")).agg(
+        F.count("record").alias("n"),
+        F.min("reason").alias("reason"),
+        F.max("key").alias("key"),
+    )
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    suffix = F.lower(F.regexp_extract("_metadata.file_name", r"(\.[^.]+)$", 1))
+    valid = F.make_valid_utf8(F.col("content").cast("string"))
+    texts = texts.where(suffix.isin(".txt", ".md")).select(
+        F.col("_metadata.file_path").alias("of"), F.when(valid.rlike(r"\S"), F.length(valid)).otherwise(0).cast("bigint").alias("n")
+    )
+    counted = delimited(".csv", ",").union(delimited(".tsv", "\t")).union(texts)
+    counted = counted.unionByName(objects, allowMissingColumns=True)
+    number = F.format_number("n", 0)
+    nothing = F.coalesce("n", F.lit(0)) == 0
+    wrong = (F.col("kind") != "unsupported") & (nothing | F.col("reason").isNotNull())
+    unread = F.col("reason").isNotNull() & (F.col("reason") != fixed.NOT_A_TABLE_DETAIL)
+    key = F.col("key")
+    found = F.when(key == "", fixed.SINGLE_OBJECT_DETAIL).when(
+        key.isNotNull(), F.replace(F.lit(fixed.ARRAY_KEY_DETAIL), F.lit("{key}"), key)
+    )
+    empty = F.when(F.col("kind") == "data", fixed.EMPTY_DATA_DETAIL).otherwise("")
+    fault = F.when(unread, F.replace(F.lit(fixed.PARSE_ERROR_DETAIL), F.lit("{error}"), F.col("reason")))
+    fault = fault.otherwise(F.coalesce("reason", empty))
+    role = F.create_map(*[F.lit(x) for pair in fixed.ROLE_NAMES.items() for x in pair])[
+        F.when(wrong, "unsupported").otherwise(F.col("kind"))
+    ]
+    size = F.when(wrong | (F.col("kind") == "unsupported"), fixed.NO_SIZE)
+    size = size.when(F.col("kind") == "data", F.concat(number, F.lit(" rows"))).otherwise(F.concat(number, F.lit(" chars")))
+    return listed.join(counted, F.col("path") == F.col("of"), "left").orderBy("path").select(
+        F.col("file").alias("File"),
+        F.upper(F.substr("extension", F.lit(2))).alias("Type"),
+        role.alias("Role"),
+        size.alias("Size"),
+        F.initcap(F.when(wrong, "error").otherwise(F.col("status"))).alias("Status"),
+        F.when(wrong, fault).otherwise(F.coalesce(found, F.col("detail"))).alias("Detail"),
+    )
+
+
+def data_files(inventory: DataFrame) -> DataFrame:
+    """The files of ``file_inventory`` that hold tables to analyse."""
+    return inventory.where(F.col("kind") == "data")
+
+
+def context_files(inventory: DataFrame) -> DataFrame:
+    """The files of ``file_inventory`` that are documents to show."""
+    return inventory.where(F.col("kind") == "context")
+
+
 @dataclass
 class IngestedFile:
     """One file: its kind and status, and the table or document read from it."""
@@ -334,11 +386,12 @@ def _ingest_one(spark: SparkSession, row) -> IngestedFile:
 
     if row.kind == "unsupported":
         return IngestedFile(row.file, row.extension, row.kind, row.status, row.detail)
+    path = unquote(row.path)
     try:
         if row.kind == "data":
-            frame, detail = _read_table(spark, row.path, row.extension)
+            frame, detail = _read_table(spark, path, row.extension)
             return IngestedFile(row.file, row.extension, "data", "ready", detail, frame=frame)
-        document = read_documents(spark, row.path)
+        document = read_documents(spark, path)
         empty = document.filter(F.col("text").rlike(r"\S")).isEmpty()
     except DatasetError as e:
         return unusable(str(e))
@@ -355,11 +408,15 @@ def ingest(spark: SparkSession, path: str) -> Ingested:
     Meant for what a person uploads: the driver goes through the list of files. The
     tables and documents stay lazy.
     """
-    rows = file_inventory(spark, path).collect()
+    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    names = [(p, unquote(p.rsplit("/", 1)[-1])) for p in scanned.inputFiles()]  # files without a byte are among them
+    files = spark.createDataFrame(names, "path string, file string").withColumn("length", F.lit(None).cast("bigint"))
+    rows = _classified(files).orderBy("path").collect()
     return Ingested(spark, [_ingest_one(spark, row) for row in rows])
 
 
 def records(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Rows as JSON objects, all or the first few."""
+    """Rows as JSON objects, nulls included, all or the first few."""
     chosen = df if rows is None else df.limit(rows)
-    return chosen.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return chosen.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("record"))

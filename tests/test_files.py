@@ -7,7 +7,7 @@ import json
 import pytest
 
 from tallywise.operators.discover import candidate_join_keys, primary_table
-from tallywise.sources import files
+from tallywise.sources import files, json_files
 
 SALES = "order_id,customer_id,amount\n1,C1,100\n2,C2,250\n3,C1,75\n"
 CUSTOMERS = "customer_id,name,segment\nC1,Ada,Retail\nC2,Bola,Wholesale\n"
@@ -160,5 +160,91 @@ def test_primary_table_prefers_money_then_size(spark, tmp_path, rows):
 
 def test_records(spark, rows):
     df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
-    assert [json.loads(r["record"]) for r in rows(files.records(df))] == [{"a": 1, "b": "x"}, {"a": 2}]
+    assert [json.loads(r["record"]) for r in rows(files.records(df))] == [{"a": 1, "b": "x"}, {"a": 2, "b": None}]
     assert files.records(df, 1).count() == 1
+
+
+def test_json_files_of_several_shapes_in_one_folder(spark, tmp_path, rows):
+    """The shape is told file by file; what cannot be read is kept aside, with its reason."""
+    contents = dict(
+        list_json=json.dumps([{"id": 1, "who": {"n": "x"}}, {"id": 2, "tags": ["q"]}], indent=1),
+        around_json=json.dumps({"version": 1, "zeta": [{"id": 3}, {"id": 4}], "alpha": [{"a": 5}]}),
+        lines_json='{"id":5,"v":1.5}\n\n{"id":6}\n{bad\n{"id":12345678901234567890123}',
+        single_json='{"id": 7}',
+        number_json="5",
+        broken_json="{oops",
+        mixed_json='[{"id":8}, 3]',
+        twice_json='{"id": 1, "id": 2}',
+        nothing_json=" \n",
+    )
+    path = folder(tmp_path, **contents)
+    df, detail = files.read_json(spark, path, bad="leave_out")
+    assert sorted(r["id"] for r in rows(df)) == [1, 2, 3, 4, 5, 6, 7, 8, 12345678901234567890123]
+    assert dict(df.dtypes) == {"id": "decimal(38,0)", "tags": "array<string>", "v": "double", "who_n": "string"}
+    assert "'zeta'" in detail
+    bad = {(r["file"].rsplit("/", 1)[-1], r["row"], r["reason"]) for r in rows(json_files.bad_json(spark, path))}
+    table = "JSON did not contain a table-like structure."
+    assert bad == {
+        ("lines.json", "{bad", "malformed JSON"), ("number.json", "5", table), ("broken.json", "{oops", "malformed JSON"),
+        ("mixed.json", "3", "not an object"), ("twice.json", '{"id": 1, "id": 2}', "malformed JSON"),
+    }
+    with pytest.raises(files.DatasetError):
+        files.read_json(spark, path)
+
+
+def test_json_of_an_array_file_and_an_object_file(spark, tmp_path, rows):
+    path = folder(tmp_path, a_json='[{"a": 1}, {"a": 2}]', b_json='{"a": 3}')
+    assert sorted(r["a"] for r in rows(files.read_json(spark, path)[0])) == [1, 2, 3]
+
+
+def test_json_lines_are_read_without_a_shuffle(spark, tmp_path):
+    path = folder(tmp_path, a_json='{"a": 1}\n{"a": {"b": 2}}\n' * 50)
+    df = files.read_json(spark, path)[0]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 100
+
+
+def test_bad_rows_are_kept_beside_the_good_ones(spark, tmp_path, rows):
+    text = 'n,t,d\n1,"a, ""b""\nc",2020-01-02\n2,x\nthree,y,2020-01-01\nNA,,n/a\n4,z,2020-01-01,5\n5,w,soon\n'
+    path = folder(tmp_path, a_csv=text)
+    schema = "n bigint, t string, d date"
+    good = sorted(tuple(r.values()) for r in rows(files.read_good_rows(spark, path, schema).selectExpr("n", "t", "cast(d as string)")) if r["n"])
+    assert good == [(1, 'a, "b"\nc', "2020-01-02")]
+    assert files.read_good_rows(spark, path, schema).where("n is null").count() == 1
+    bad = {(r["row"], r["reason"]) for r in rows(files.bad_rows(spark, path, schema))}
+    assert bad == {
+        ("2,x", "wrong number of cells"), ("4,z,2020-01-01,5", "wrong number of cells"),
+        ('{"n":"three","t":"y","d":"2020-01-01"}', "a cell does not fit its type"),
+        ('{"n":"5","t":"w","d":"soon"}', "a cell does not fit its type"),
+    }
+
+
+def test_documents_with_broken_bytes_and_odd_names(spark, tmp_path, rows):
+    content = b"A\xffB\xe2\x82C \xc3\xa9\r\nend"
+    (tmp_path / "a b+c%20.txt").write_bytes(content)
+    (got,) = rows(files.read_documents(spark, str(tmp_path)))
+    assert got == {"file": "a b+c%20.txt", "text": content.decode("utf-8", "replace")}
+
+
+def test_inventory_in_one_plan(spark, tmp_path, rows):
+    deep = tmp_path / "in" / "side"
+    deep.mkdir(parents=True)
+    for name, text in {
+        "a.CSV": 'n,t\n1,"x\ny"\n2,z\n', "head.csv": "n,t\n", "b.tsv": "p\tq\n1\t2\n", "c.json": '{"k": [{"v": 1}, {"v": 2}]}',
+        "bad.json": "{", "d.md": "# Été", "blank.txt": " \n", "e.png": "x", "f": "x", "g.pdf": "%PDF",
+    }.items():
+        (deep / name).write_text(text)
+    (deep / "void.csv").write_bytes(b"")
+    listed = files.file_inventory(spark, str(tmp_path))
+    assert {r["file"] for r in rows(files.data_files(listed))} == {"a.CSV", "head.csv", "b.tsv", "c.json", "bad.json"}
+    assert {r["file"] for r in rows(files.context_files(listed))} == {"d.md", "blank.txt"}
+    got = {r["File"]: (r["Type"], r["Role"], r["Size"], r["Status"], r["Detail"]) for r in rows(files.inventory_summary(spark, str(tmp_path)))}
+    assert got["a.CSV"] == ("CSV", "Data", "2 rows", "Ready", "")
+    assert got["head.csv"] == ("CSV", "—", "—", "Error", "File contained no data rows.")
+    assert got["b.tsv"] == ("TSV", "Data", "1 rows", "Ready", "")
+    assert got["c.json"] == ("JSON", "Data", "2 rows", "Ready", "Used array under key 'k'.")
+    assert got["bad.json"] == ("JSON", "—", "—", "Error", "Could not parse: malformed JSON")
+    assert got["d.md"] == ("MD", "Context", "5 chars", "Extracted", "")
+    assert got["blank.txt"] == ("TXT", "—", "—", "Error", "")
+    assert got["e.png"][3] == "Declined" and got["f"][3] == "Declined" and got["g.pdf"][3] == "Error"
+    ingested = {f.name for f in files.ingest(spark, str(tmp_path)).files}
+    assert ingested == set(got) | {"void.csv"}

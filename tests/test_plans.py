@@ -7,7 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallywise.operators import breakdown, kpi, targets
+from tallywise.operators import breakdown, kpi, lattice, targets
+from tallywise.operators.summaries import money_sums, sums_and_distinct
+from tallywise.plans import findings, questions
 from verification import views
 from verification.oracle import ORACLE_SQL
 from verification.queries import QUERIES
@@ -123,3 +125,65 @@ def scans(df, table: str) -> int:
 def test_the_sales_fact_is_read_once(spark, name, most):
     """Returns are a view of the same table; the last day is looked up for sales and for returns."""
     assert scans(QUERIES[name](spark, DATA), "lineitem") <= most
+
+
+@pytest.mark.parametrize(
+    "build",
+    [
+        lambda t: kpi.kpi_for_window(t, "2000-01-01", "2000-12-31"),
+        lambda t: kpi.period_comparison(t, 365),
+        kpi.monthly_trend,
+        breakdown.segment_value,
+        breakdown.store_team_performance,
+        lambda t: breakdown.breakdown_by(t, "category"),
+        lambda t: breakdown.breakdown_by(t, "region"),
+    ],
+)
+def test_orders_are_counted_without_a_shuffle_by_order(stored, build):
+    """Rows are combined where they are read: only group, range of ids, sums and bitmaps are dealt out."""
+    dealt = re.findall(r"Exchange hashpartitioning\(([^\n]*)", plan(build(stored)))
+    assert dealt and not [d for d in dealt if "order_id" in d]
+
+
+def test_counts_of_texts_carry_no_amounts(spark, stored):
+    """Ids that are no numbers, and groups too many for bitmaps, are counted from pairs of group and id."""
+    texts = stored.sales.withColumn("order_id", F.concat(F.lit("o"), "order_id"))
+    for df, few in ((texts, True), (stored.sales, False), (stored.sales, True)):
+        found = sums_and_distinct(df, ["store_id"], money_sums(), {"orders": "order_id", "customers": "customer_id"}, few)
+        got = {r.store_id: (r.revenue, r.orders, r.customers) for r in found.collect()}
+        want = df.groupBy("store_id").agg(
+            F.sum("revenue").alias("s"), F.count_distinct("order_id").alias("o"), F.count_distinct("customer_id").alias("c")
+        )
+        assert got == {r.store_id: (r.s, r.o, r.c) for r in want.collect()}
+    pairs = re.findall(r"HashAggregate\(keys=\[store_id#\d+L?, order_id[^\n]*", plan(sums_and_distinct(texts, ["store_id"], money_sums(), {"orders": "order_id"})))
+    assert pairs and not [p for p in pairs if "sum" in p]
+
+
+def test_bitmaps_count_all_kinds_of_whole_numbers(spark):
+    ids = [None, 0, 1, -1, 32767, 32768, 32769, -32767, -32768, 2**62, -(2**62), 7, 7, None]
+    df = spark.createDataFrame([(i, "a") for i in ids] + [(None, "b"), (1, None)], "id long, g string")
+    found = sums_and_distinct(df, ["g"], {"n": F.lit(1)}, {"ids": "id"})
+    assert {(r.g, r.n, r.ids) for r in found.collect()} == {("a", 14, 11), ("b", 1, 0), (None, 1, 1)}
+    nothing = sums_and_distinct(df.where("false"), [], {"n": F.lit(1)}, {"ids": "id"}).collect()
+    assert [tuple(r) for r in nothing] == [(None, 0)]
+
+
+def test_findings_and_answers_read_sales_and_returns_once(spark):
+    tables = views.retail(spark, DATA)
+    assert scans(lattice.sales_pass(tables), "lineitem") == 1
+    assert scans(lattice.returns_pass(tables), "lineitem") == 1
+    summed = lattice.lattice(tables)
+    for df in (
+        findings.findings(tables, summed=summed),
+        findings.findings_evidence(tables, summed=summed),
+        questions.answer_questions(tables, views.questions(spark, DATA), summed=summed),
+    ):
+        assert scans(df, "lineitem") == 0
+
+
+def test_the_lattice_rolls_up_to_the_tables(spark, stored):
+    summed = lattice.lattice(stored)
+    for by in (lambda t: kpi.growth_gap(t, 365), breakdown.segment_value, lambda t: targets.target_vs_actual(t, "2001-07")):
+        assert [tuple(r) for r in by(summed.by_order).collect()] == [tuple(r) for r in by(stored).collect()]
+    category = [tuple(r) for r in breakdown.breakdown_by(summed.by_product, "category", orders=False).collect()]
+    assert category == [tuple(r) for r in breakdown.breakdown_by(stored, "category", orders=False).collect()]

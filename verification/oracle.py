@@ -6,7 +6,7 @@ import re
 
 from tallywise import fixed_values as fixed
 from verification.queries import LONG_ID, MAPPED, PROFILED, TARGET_MONTH, WINDOW
-from verification.views import QUESTION_FORMS, TEST_TABLES
+from verification.views import CATALOG_COLUMNS, QUESTION_FORMS, TEST_TABLES
 
 # ---------------------------------------------------------------------------
 # Small SQL pieces
@@ -1211,6 +1211,79 @@ FLAGS = checks(
     }
 )
 
+# ---------------------------------------------------------------------------
+# Files
+# ---------------------------------------------------------------------------
+
+BAD_ROWS = f"""
+SELECT 'csv' AS source, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey || ',' || custkey || ',extra'
+        ELSE '{{"orderkey":"' || o_orderkey || '","custkey":"' || custkey || '"}}' END AS row,
+    CASE WHEN o_orderkey % 11 = 0 THEN {text(fixed.CELL_COUNT_REASON)} ELSE {text(fixed.CELL_TYPE_REASON)} END AS reason
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'none at all' ELSE o_custkey::VARCHAR END AS custkey FROM orders)
+WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0
+UNION ALL
+SELECT 'json', '{{' || o_orderkey, {text(fixed.MALFORMED_REASON)} FROM orders WHERE o_orderkey % 5 = 0
+"""
+
+FILE_INVENTORY = f"""
+WITH files AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer),
+kinds AS (SELECT * FROM (VALUES ('.csv', 'data', 'ready', ''), ('.json', 'data', 'ready', ''),
+    ('.txt', 'context', 'extracted', ''),
+    ('.parquet', 'unsupported', 'declined', {text(fixed.UNKNOWN_FORMAT_DETAIL.format(extension='.parquet'))})
+) AS k(extension, kind, status, detail))
+SELECT f.filter, extension, kind, status, detail, n AS files, n AS with_content
+FROM kinds, files, (VALUES ('all'), ('data'), ('context')) AS f(filter) WHERE f.filter IN ('all', kind)
+"""
+
+INVENTORY_SUMMARY = f"""
+WITH nations AS (SELECT c_nationkey, format('{{:,}}', count(*)) AS n FROM customer GROUP BY 1),
+found AS (
+    SELECT 'CSV' AS "Type", 'Data' AS "Role", n || ' rows' AS "Size", 'Ready' AS "Status", '' AS "Detail" FROM nations
+    UNION ALL SELECT 'JSON', 'Data', n || ' rows', 'Ready', '' FROM nations
+    UNION ALL SELECT 'TXT', 'Context', n || ' chars', 'Extracted', '' FROM nations WHERE c_nationkey <> 1
+    UNION ALL SELECT 'TXT', {text(fixed.ROLE_NAMES['unsupported'])}, {text(fixed.NO_SIZE)}, 'Error', '' FROM nations
+        WHERE c_nationkey = 1
+    UNION ALL SELECT 'PARQUET', {text(fixed.ROLE_NAMES['unsupported'])}, {text(fixed.NO_SIZE)}, 'Declined',
+        {text(fixed.UNKNOWN_FORMAT_DETAIL.format(extension='.parquet'))} FROM nations
+)
+SELECT *, count(*) AS files FROM found GROUP BY ALL
+"""
+
+
+def retail_catalog() -> str:
+    """A digest of each of the twelve tables: rows as text, columns in the order of their names."""
+    plain = {
+        "products": ("products", {}),
+        "stores": ("stores", {}),
+        "customers": ("customers", {"segment": "customer_segment"}),
+        "employees": ("employees", {}),
+        "sales": ("sales", {}),
+        "returns": ("returns", {}),
+        "deliveries": ("deliveries", {}),
+        "delivery_partners": ("delivery_partners", {}),
+        "inventory_daily": (
+            "inventory_daily",
+            {
+                "stockout_flag": "CASE WHEN is_out THEN 'True' ELSE 'False' END",
+                "excess_stock_flag": "CASE WHEN is_over THEN 'true' ELSE 'false' END",
+            },
+        ),
+        "marketing": ("marketing", {"spend": "spend::DECIMAL(18,4)", "attributed_revenue": "attributed_revenue::DECIMAL(18,4)"}),
+        "targets": (
+            "targets",
+            {c: f"{c}::DECIMAL(18,4)" for c in ("revenue_target", "gross_profit_target")},
+        ),
+        "hubs": ("(SELECT 'H' || r_regionkey AS hub_id, r_name AS hub_name, r_name AS region FROM region)", {}),
+    }
+    parts = []
+    for name, (source, columns) in plain.items():
+        shown = [columns.get(c, c) for c in sorted(CATALOG_COLUMNS[name])]
+        row = " || '|' || ".join(f"coalesce(({e})::VARCHAR, '-')" for e in shown)
+        first = f"('0x' || substr(sha256({row}), 1, 8))::BIGINT"
+        parts.append(f"SELECT {text(name)} AS table_name, count(*) AS rows, sum({first})::BIGINT AS digest FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
 _STATEMENTS: dict[str, str] = {
     "sales_enriched": """SELECT * EXCLUDE (order_date, revenue, cost, gross_profit),
         order_date::VARCHAR AS order_date, revenue::DOUBLE AS revenue, cost::DOUBLE AS cost,
@@ -1250,13 +1323,20 @@ _STATEMENTS: dict[str, str] = {
     "csv_scan": f"SELECT *, doc_id + {LONG_ID} AS long_id FROM documents",
     "tsv_scan": f"SELECT *, doc_id + {LONG_ID} AS long_id FROM documents",
     "json_records": "SELECT * FROM conversations",
-    "json_record_array": "SELECT s_suppkey, s_name AS who_s_name, s_nationkey AS who_s_nationkey FROM supplier",
+    "json_record_array": """SELECT o_orderkey, o_custkey AS customer_key, count(l_orderkey) AS n_lines,
+        coalesce(sum(l_quantity), 0)::DOUBLE AS units FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+    "json_mixed_folder": "SELECT c_custkey, c_name, c_nationkey AS nation_key FROM customer",
+    "bad_rows": BAD_ROWS,
     "json_object": """SELECT count(o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers_known,
         max(o_custkey) AS customers_last FROM orders""",
-    "document_scan": "SELECT (sum(length(text) + 1))::BIGINT AS chars FROM documents",
-    "records": """SELECT '{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}' AS record
-        FROM labels""",
-    "retail_csv_catalog": "SELECT c_custkey::VARCHAR AS customer_id, c_mktsegment AS segment FROM customer",
+    "document_scan": """SELECT sha256(t) AS digest, length(t)::BIGINT AS chars FROM (
+        SELECT CASE WHEN item_id % 3 = 0 THEN 'A' || chr(65533) || 'B' || chr(65533) || 'C' ELSE '' END || text || chr(10) AS t
+        FROM benchmark WHERE text IS NOT NULL)""",
+    "file_inventory": FILE_INVENTORY,
+    "inventory_summary": INVENTORY_SUMMARY,
+    "records": """SELECT '{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":'
+        || CASE WHEN doc_id % 3 <> 0 THEN toxic::VARCHAR ELSE 'null' END || '}' AS record FROM labels""",
+    "retail_csv_catalog": retail_catalog(),
     "candidate_join_keys": join_keys(),
     "primary_table": primary(),
     "column_profile": COLUMN_PROFILE,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallywise.operators import (
     breakdown,
@@ -27,7 +27,18 @@ from tallywise.functions.texts import shorten
 from tallywise.plans import findings as finding_plans
 from tallywise.plans import questions as question_plans
 from tallywise.plans import user_tables
-from tallywise.sources.files import read_csv, read_documents, read_json, read_tsv, records
+from tallywise.sources.files import (
+    bad_rows,
+    context_files,
+    data_files,
+    file_inventory,
+    inventory_summary,
+    read_csv,
+    read_documents,
+    read_tsv,
+    records,
+)
+from tallywise.sources.json_files import bad_json, read_json
 from tallywise.sources.retail import load_retail_tables
 from verification import views
 from verification.scratch import as_delimited, scratch_folder
@@ -36,6 +47,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 WINDOW = ("2000-01-01", "2000-12-31")
 TARGET_MONTH = "2001-07"
+FILE_ROWS = 4_000  # keys that share a file
 LONG_ID = 1_234_567_890_000_000_000
 PROFILED = ("lineitem", "orders", "customer", "documents")
 MAPPED = ("orders", "lineitem", "customer", "part", "events", "documents", "benchmark", "nation", "supplier")
@@ -85,13 +97,54 @@ def _json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, folder)[0]
 
 
+def _in_files(df: DataFrame, bucket: Column, value: Column, folder: str) -> None:
+    """One file for each bucket of rows, with the text that the aggregate `value` makes of them."""
+    held = df.groupBy(bucket.alias("bucket")).agg(value.alias("value"))
+    held.write.partitionBy("bucket").text(folder)
+
+
 def _json_record_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as one JSON object with a list, the form of an upload, read back as rows."""
-    suppliers = views.table(spark, sf_dir, "supplier")
-    rows = F.collect_list(F.struct(F.col("s_suppkey"), F.struct("s_name", "s_nationkey").alias("who")))
+    """Orders with their lines, as one top-level JSON list in each of many files, read back as rows."""
+    lines = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("of")).agg(
+        F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity"))).alias("lines")
+    )
+    orders = views.table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("of"), "left")
+    record = F.struct("o_orderkey", F.struct(F.col("o_custkey").alias("key")).alias("customer"), "lines")
     folder = scratch_folder(spark)
-    suppliers.agg(F.to_json(F.struct(F.lit("all").alias("title"), rows.alias("rows")))).write.text(folder)
-    return read_json(spark, folder)[0]
+    _in_files(orders, F.floor(F.col("o_orderkey") / FILE_ROWS), F.to_json(F.collect_list(record)), folder)
+    read = read_json(spark, folder)[0]
+    units = F.aggregate("lines", F.lit(0.0), lambda total, line: total + line["quantity"])
+    return read.select(
+        "o_orderkey", "customer_key", F.size(F.coalesce("lines", F.array().cast(read.schema["lines"].dataType))).alias("n_lines"),
+        F.coalesce(units, F.lit(0.0)).alias("units"),
+    )
+
+
+def _json_mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in one folder of lists, objects around a list, and files of lines; every row comes back."""
+    customers = views.table(spark, sf_dir, "customer")
+    record = F.struct("c_custkey", "c_name", F.struct(F.col("c_nationkey").alias("key")).alias("nation"))
+    listed = F.collect_list(record)
+    bucket, shape, folder = F.floor(F.col("c_custkey") / FILE_ROWS), F.col("c_custkey") % 3, scratch_folder(spark)
+    _in_files(customers.where(shape == 0), bucket, F.to_json(listed), f"{folder}/shape=list")
+    around = F.to_json(F.struct(F.lit("all").alias("title"), listed.alias("rows")))
+    _in_files(customers.where(shape == 1), bucket, around, f"{folder}/shape=object")
+    customers.where(shape == 2).select(F.to_json(record)).write.text(f"{folder}/shape=lines")
+    return read_json(spark, folder, recursive=True)[0]
+
+
+def _bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV and as JSON lines, some of them spoiled: the rows that cannot be read, and why."""
+    key, folder = F.col("o_orderkey"), scratch_folder(spark)
+    orders = views.table(spark, sf_dir, "orders").select(key, F.col("o_custkey"))
+    spoiled = F.when(key % 7 == 0, "none at all").otherwise(F.col("o_custkey").cast("string"))
+    rows = orders.select(F.concat_ws(",", key, spoiled, F.when(key % 11 == 0, "extra")).alias("orderkey,custkey"))
+    rows.write.option("header", True).option("sep", "\x01").csv(f"{folder}/csv")  # one column, so nothing is quoted
+    broken = F.when(key % 5 == 0, F.concat(F.lit("{"), key)).otherwise(F.to_json(F.struct("o_orderkey", "o_custkey")))
+    orders.select(broken).write.text(f"{folder}/json")
+    schema = "orderkey bigint, custkey bigint"
+    delimited = bad_rows(spark, f"{folder}/csv", schema).select(F.lit("csv").alias("source"), "row", "reason")
+    return delimited.union(bad_json(spark, f"{folder}/json").select(F.lit("json"), "row", "reason"))
 
 
 def _json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,18 +158,72 @@ def _json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written as text files and read back whole: how many characters there are."""
+    """One file per benchmark item, some with bytes that are no UTF-8, read whole: a digest of each text."""
+    broken = F.when(F.col("item_id") % 3 == 0, F.concat(F.unhex(F.lit("41FF42E28243")), F.encode("text", "UTF-8")))
+    items = views.table(spark, sf_dir, "benchmark").where("text is not null").select(
+        F.coalesce(broken, F.encode("text", "UTF-8")).cast("string").alias("value"), "item_id"
+    )
     folder = scratch_folder(spark)
-    views.table(spark, sf_dir, "documents").select("text").write.text(folder)
-    return read_documents(spark, folder).agg(F.sum(F.length("text")).alias("chars"))
+    items.write.partitionBy("item_id").text(folder)
+    read = read_documents(spark, folder, recursive=True)
+    return read.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").cast("bigint").alias("chars"))
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of one CSV, one JSON, one text and one Parquet file per customers' nation; one text is blank."""
+    customers, folder = views.table(spark, sf_dir, "customer"), scratch_folder(spark)
+    nation = F.col("c_nationkey").alias("nation")
+    rows = customers.select(nation, "c_custkey", "c_name").repartition("nation")
+    rows.write.partitionBy("nation").option("header", True).csv(f"{folder}/tables")
+    rows.write.partitionBy("nation").parquet(f"{folder}/others")
+    rows.write.partitionBy("nation").json(f"{folder}/lists")
+    mark = F.when(F.col("nation") == 1, " ").otherwise("x")
+    notes = customers.groupBy(nation).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    notes.select("nation", F.repeat(mark, F.col("n") - 1).alias("value")).write.partitionBy("nation").text(f"{folder}/notes")
+    return folder
+
+
+def _file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four kinds by what their names say, with the two filters of kinds."""
+    listed = file_inventory(spark, _mixed_files(spark, sf_dir))
+    kinds = profile.union_all(
+        [_tagged(name, df) for name, df in (("all", listed), ("data", data_files(listed)), ("context", context_files(listed)))]
+    )
+    return kinds.groupBy(F.col("table_name").alias("filter"), "extension", "kind", "status", "detail").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("length") > 0).alias("with_content")
+    )
+
+
+def _inventory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files after reading them: sizes and errors."""
+    found = inventory_summary(spark, _mixed_files(spark, sf_dir))
+    return found.groupBy("Type", "Role", "Size", "Status", "Detail").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as JSON records, every third toxic value unknown."""
+    labels = views.table(spark, sf_dir, "labels")
+    return records(labels.withColumn("toxic", F.when(F.col("doc_id") % 3 != 0, F.col("toxic"))))
+
+
+def _digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rows, digest): the digest adds up the first 32 bits of the SHA-256 of every row."""
+
+    def of(name: str, df: DataFrame) -> DataFrame:
+        shown = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(df.columns)])
+        first = F.conv(F.substring(F.sha2(shown, 256), 1, 8), 16, 10).cast("bigint")
+        return df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.sum(first).alias("digest"))
+
+    return profile.union_all([of(name, df) for name, df in sorted(tables.items())])
 
 
 def _retail_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of the catalog written as CSV and loaded with their declared types."""
+    """All twelve tables of the catalog written as CSV, with gaps, and loaded with their declared types."""
     folder = scratch_folder(spark)
-    customers = views.retail(spark, sf_dir).customers.select("customer_id", "segment")
-    customers.write.option("header", True).csv(f"{folder}/customers.csv")
-    return load_retail_tables(spark, folder, "csv", only=("customers",)).customers
+    for name, df in (views.retail(spark, sf_dir).present() | {"hubs": views.hubs(spark, sf_dir)}).items():
+        gaps = {c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in df.columns}
+        df.select([gaps[c].alias(f" {c} ") for c in df.columns]).write.option("header", True).csv(f"{folder}/{name}.csv")
+    return _digests(load_retail_tables(spark, folder, "csv").present())
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
@@ -357,8 +464,12 @@ _BUILDERS: dict[str, Query] = {
     "json_records": _json_records,
     "json_record_array": _json_record_array,
     "json_object": _json_object,
+    "json_mixed_folder": _json_mixed_folder,
+    "bad_rows": _bad_rows,
     "document_scan": _document_scan,
-    "records": lambda spark, sf_dir: records(views.table(spark, sf_dir, "labels")),
+    "file_inventory": _file_inventory,
+    "inventory_summary": _inventory_summary,
+    "records": _records,
     "retail_csv_catalog": _retail_csv,
     "candidate_join_keys": _join_keys,
     "primary_table": lambda spark, sf_dir: discover.primary_table(views.test_tables(spark, sf_dir)),

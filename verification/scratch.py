@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names; only a local session may do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from tallywise.sources.written import shared_folder as scratch_folder
 
 
 def as_delimited(df: DataFrame, sep: str) -> str:

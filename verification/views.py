@@ -32,6 +32,33 @@ USER_MAPPING = {
     "return_flag": "is_returned",
 }
 
+# The columns that the retail views have.
+CATALOG_COLUMNS = {
+    "products": ("product_id", "product_name", "category", "brand"),
+    "stores": ("store_id", "store_name", "region"),
+    "customers": ("customer_id", "segment", "store_id"),
+    "employees": ("employee_id", "store_id", "role"),
+    "sales": (
+        "order_id", "order_date", "customer_id", "product_id", "store_id", "channel", "quantity", "revenue", "cost",
+        "gross_profit",
+    ),
+    "returns": (
+        "return_id", "order_id", "return_date", "product_id", "store_id", "quantity", "return_reason", "refund_amount",
+    ),
+    "deliveries": (
+        "order_id", "order_date", "store_id", "delivery_partner_id", "promised_days", "actual_days", "delivery_status",
+        "delivery_rating",
+    ),
+    "delivery_partners": ("delivery_partner_id", "partner_name"),
+    "inventory_daily": ("snapshot_date", "store_id", "product_id", "stockout_flag", "excess_stock_flag"),
+    "marketing": ("campaign_id", "campaign_name", "spend", "attributed_revenue", "conversions", "roi"),
+    "targets": (
+        "month", "store_id", "revenue_target", "gross_profit_target", "on_time_delivery_target_pct",
+        "return_rate_target_pct",
+    ),
+    "hubs": ("hub_id", "hub_name", "region"),
+}
+
 QUESTION_FORMS = (
     "Which delivery partner has the highest delay rate for",
     "Which category has the highest return rate among",
@@ -202,6 +229,13 @@ def retail(spark: SparkSession, sf_dir: str) -> RetailTables:
     )
 
 
+def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one table of the catalog that no analysis reads: a hub per region."""
+    return table(spark, sf_dir, "region").select(
+        F.concat(F.lit("H"), F.col("r_regionkey")).alias("hub_id"), F.col("r_name").alias("hub_name"), F.col("r_name").alias("region")
+    )
+
+
 def uploaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table nobody knows the schema of: line items with their part type."""
     price = _hundredths("l_extendedprice")
