@@ -20,10 +20,11 @@ from functools import cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tallywise.llm.common import chunks, looked_up, plain_texts
+from tallywise.llm.common import chunks, cut_pieces, gathered, looked_up
 
 WORDS_AT_ONCE = 40_000  # distinct words in one recursive query
 REMEMBERED = 400_000  # pieces that a worker process keeps from batch to batch
@@ -77,7 +78,7 @@ class Codec:
         self._table("merges", pair=pair, rank=pa.array([m[2] for m in merges], pa.int32()))
         ids = pa.array(list(ranks.values()), pa.int32())
         self._table("tokens", id=ids, shown=pa.array([f"{r}:{t.hex()}" for t, r in ranks.items()]))
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.pieces: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -107,12 +108,13 @@ class Codec:
             out.append((len(shown), " ".join([x[0] for x in shown]), bytes.fromhex("".join([x[1] for x in shown]))))
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, str, bytes]]:
-        """Every piece with its number of ids, its ids and its decoded bytes."""
-        split = {
-            p: [w.encode("utf-8", "surrogatepass") for w in ([p] if p[1:].isalpha() and p[0] == " " else self.pattern.findall(p))]
-            for p in pieces
-        }
+    def learn(self, new: set[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
+        """Every piece with its number of ids, its ids, each after a blank, and its decoded bytes."""
+        split = {}
+        for piece in new:
+            text = piece.decode("utf-8", "surrogatepass")
+            whole = text[1:].isalpha() and text[0] == " "
+            split[piece] = [piece] if whole else [w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(text)]
         distinct = list({w for words in split.values() for w in words})
         coded: dict[bytes, tuple[int, str, bytes]] = {}
         at = 0
@@ -123,21 +125,21 @@ class Codec:
         out = {}
         for piece, words in split.items():
             found = [coded[w] for w in words]
-            out[piece] = (
-                sum(f[0] for f in found),
-                " ".join([f[1] for f in found]),
-                b"".join([f[2] for f in found]),
-            )
+            ids = "".join([" " + f[1] for f in found]).encode()
+            out[piece] = sum([f[0] for f in found]), ids, b"".join([f[2] for f in found])
         return out
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+    def texts(self, texts: pa.Array) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by blanks, decoded bytes) of each text."""
-        for found in looked_up(texts, self.pieces, self.learn, REMEMBERED):
-            yield (
-                sum([f[0] for f in found]),
-                " ".join([f[1] for f in found]),
-                b"".join([f[2] for f in found]),
-            )
+        pieces, index, firsts = cut_pieces(texts)
+        found = looked_up(pieces, self.pieces, self.learn, REMEMBERED)
+        sizes = np.array([f[0] for f in found], np.int64)
+        before = np.concatenate(([0], np.cumsum(sizes[index])))[firsts].tolist()
+        ids, id_bounds = gathered([f[1] for f in found], index, firsts)
+        decoded, decoded_bounds = gathered([f[2] for f in found], index, firsts)
+        for i in range(len(firsts) - 1):
+            shown = ids[id_bounds[i] + 1 : id_bounds[i + 1]].tobytes().decode()
+            yield before[i + 1] - before[i], shown, decoded[decoded_bounds[i] : decoded_bounds[i + 1]].tobytes()
 
 
 @cache
@@ -173,7 +175,7 @@ def encoded(
         own = codec(path, pattern)
         for part in chunks(batches, "text", CHARS_AT_ONCE):
             n, values = [], [[] for _ in outputs]
-            for count, ids, decoded in own.texts(plain_texts(part, "text")):
+            for count, ids, decoded in own.texts(pc.fill_null(part.column("text"), "")):
                 n.append(count)
                 for name, column in zip(outputs, values):
                     column.append(OUTPUTS[name][1](ids, decoded))

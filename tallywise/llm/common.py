@@ -157,35 +157,60 @@ def rows_by_key(documents: DataFrame, keys: DataFrame, how: str, id_col: str, te
 
 
 OTHER_SPACE = re.compile(r"[^\S \n]")
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, 0x0A]] = True
+# bytes that other white space has or begins with; most of them also begin other characters
+DOUBTFUL = np.zeros(256, bool)
+DOUBTFUL[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut before each blank or line break after a visible character; whole if it has other white space.
+def cut_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pieces of some texts, the number of each piece of all texts, and where each text's pieces begin.
 
-    A byte-level pattern never matches across such a place: before it ends a word, and white space
-    looks ahead only.
+    A text is cut before each run of blanks and line breaks after a visible character. A text that has other
+    white space is one piece, an empty one has none. A byte-level pattern never matches across such a
+    place: before it ends a word, and white space looks ahead only.
     """
-    if not text:
-        return []
-    if text.isascii():
-        other = any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-    else:
-        other = OTHER_SPACE.search(text) is not None
-    if other:
-        return [text]
-    if text[0] in " \n" or "\0" in text or any(run in text for run in ("  ", "\n\n", " \n", "\n ")):
-        return PIECE.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-
-
-def looked_up(texts: list[str], known: dict, learn, limit: int) -> Iterator[list]:
-    """What `known` has for the pieces of each text; new pieces go to `learn` together, as a set."""
-    cut = [pieces_of(t) for t in texts]
-    found = [list(map(known.get, pieces)) for pieces in cut]
-    new = {p for pieces, values in zip(cut, found) if None in values for p, v in zip(pieces, values) if v is None}
-    fresh = learn(new) if new else {}
+    column = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    octets = np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    begins = np.unique(bounds[:-1][np.diff(bounds) > 0])
+    blank = BLANK[octets]
+    cut = np.zeros(len(octets), bool)
+    cut[1:] = blank[1:] & ~blank[:-1]
+    cut[: bounds[0]] = False
+    doubtful = np.flatnonzero(DOUBTFUL[octets])
+    for i in np.unique(np.searchsorted(bounds, doubtful, "right") - 1).tolist():
+        if i >= 0 and OTHER_SPACE.search(octets[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "surrogatepass")):
+            cut[bounds[i] : bounds[i + 1]] = False
+    cut[begins] = True
+    starts = np.flatnonzero(cut)
+    offsets = np.append(starts, bounds[-1])
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), data or pa.py_buffer(b"")])
+    coded = pieces.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(starts, bounds)
+
+
+def gathered(values: list[bytes], index: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, the values of its pieces one after the other: all bytes, and where each text's begin and end."""
+    held = np.frombuffer(b"".join(values), np.uint8)
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    at = np.cumsum(sizes) - sizes
+    long = sizes[index]
+    ends = np.concatenate(([0], np.cumsum(long)))
+    source = np.repeat(at[index] - ends[:-1], long)
+    source += np.arange(ends[-1])
+    return held[source], ends[firsts]
+
+
+def looked_up(pieces: list[bytes], known: dict, learn, limit: int) -> list:
+    """What `known` has for the pieces; new ones go to `learn` together, as a set."""
+    found = list(map(known.get, pieces))
+    new = {p for p, v in zip(pieces, found) if v is None}
+    if not new:
+        return found
+    fresh = learn(new)
     if len(known) + len(fresh) <= limit:
         known.update(fresh)
-    for pieces, values in zip(cut, found):
-        yield [fresh[p] if v is None else v for p, v in zip(pieces, values)] if None in values else values
+    return [fresh[p] if v is None else v for p, v in zip(pieces, found)]

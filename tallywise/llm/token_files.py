@@ -17,10 +17,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallywise.llm.common import chunks, looked_up, plain_texts, shared_folder, stored
+from tallywise.llm.common import chunks, cut_pieces, gathered, looked_up, shared_folder, stored
 
 LIMIT = 20  # bits of the longest code; enough for a million different ids
 BLOCK = 1 << 16
@@ -45,20 +46,21 @@ class Pieces:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, np.int64) for c in coded]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        joinable = [p for p in pieces if p[0] in " \n" and not p[-1].isspace()]
-        alone = [p for p in pieces if p[0] not in " \n" or p[-1].isspace()]
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        pieces = {p: p.decode("utf-8", "surrogatepass") for p in new}
+        joinable = [p for p, text in pieces.items() if p[0] in b" \n" and not text[-1].isspace()]
+        alone = [p for p, text in pieces.items() if p[0] not in b" \n" or text[-1].isspace()]
         out = {}
         for at in range(0, len(joinable), 4_000):
             group = joinable[at : at + 4_000]
-            (ids,) = self._ids(["".join(group)])
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in group])
+            (ids,) = self._ids(["".join([pieces[p] for p in group])])
+            ends = np.cumsum([len(p) for p in group])
             reached = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(reached, ends)
             if len(ids) and cuts[-1] < len(ids) and (reached[cuts] == ends).all():
@@ -69,12 +71,17 @@ class Pieces:
                 alone += group
         for at in range(0, len(alone), 4_000):
             group = alone[at : at + 4_000]
-            out.update((p, ids.astype(self.kind).tobytes()) for p, ids in zip(group, self._ids(group)))
+            coded = self._ids([pieces[p] for p in group])
+            out.update((p, ids.astype(self.kind).tobytes()) for p, ids in zip(group, coded))
         return out
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian numbers."""
-        return map(b"".join, looked_up(texts, self.known, self._learn, REMEMBERED))
+    def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each text's begin and end."""
+        pieces, index, firsts = cut_pieces(texts)
+        values = [*looked_up(pieces, self.known, self._learn, REMEMBERED), np.array([end], self.kind).tobytes()]
+        index = np.insert(index.astype(np.int64), firsts[1:], len(values) - 1)  # the end id is one more piece of each text
+        octets, bounds = gathered(values, index, firsts + np.arange(len(firsts)))
+        return octets.view(self.kind), bounds // self.kind.itemsize
 
 
 @cache
@@ -87,15 +94,15 @@ def tokenized(documents: DataFrame, path: str, end_id: int = 0, id_col: str = "d
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(path)
-        end = np.array([end_id], own.kind).tobytes()
+        width = own.kind.itemsize
         for part in chunks(batches, "text", CHARS_AT_ONCE):
-            ids = [coded + end for coded in own.texts(plain_texts(part, "text"))]
-            width = own.kind.itemsize
+            ids, bounds = own.texts(pc.fill_null(part.column("text"), ""), end_id)
+            offsets = pa.py_buffer((bounds * width).astype(np.int32))
             columns = [
                 part.column("doc_id"),
-                pa.array([len(x) // width for x in ids], pa.int64()),
-                pa.array([width] * len(ids), pa.int32()),
-                pa.array(ids, pa.binary()),
+                pa.array(np.diff(bounds)),
+                pa.array(np.full(len(bounds) - 1, width, np.int32)),
+                pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(ids)]),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "width", "ids"])
 
@@ -249,7 +256,7 @@ def write_token_file(
     """Tokenize every text (null: empty), append the end id and write all ids in ascending order of doc_id.
 
     Rows with a null id come last; rows of equal id come in the order of their ids. Only the table of
-    the counts, one row per id of the vocabulary, and one row per part pass through the driver.
+    the counts, one row per id of the vocabulary, passes through the driver.
     """
     spark = documents.sparkSession
     ids = stored(tokenized(documents, path, end_id, id_col, text_col))
@@ -257,7 +264,7 @@ def write_token_file(
     used, weights = counted["id"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
     lengths = code_lengths(weights) if len(used) else np.empty(0, np.int64)
     total = int(weights.sum())
-    parts = max(1, min(10_000, -(-total // PART_TOKENS)))
+    parts = max(1, -(-total // PART_TOKENS))
     order = [F.asc_nulls_last("doc_id"), F.asc("ids")]
     dealt = ids.select("doc_id", "width", "ids").repartitionByRange(parts, F.asc_nulls_last("doc_id"))
     blocks = _blocks(dealt.sortWithinPartitions(*order), used, lengths)
@@ -265,11 +272,47 @@ def write_token_file(
     code = [(int(a), int(b)) for a, b in zip(used, lengths)]
     spark.createDataFrame(code, "id long, length int").coalesce(1).write.parquet(f"{folder}/code")
     sizes = spark.read.parquet(f"{folder}/blocks").select("part", F.expr("aggregate(doc_tokens, 0L, (a, x) -> a + x)").alias("n"))
-    starts, before = [], 0
-    for row in sizes.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        starts.append((row["part"], before))
-        before += row["n"]
-    spark.createDataFrame(starts, "part int, start long").coalesce(1).write.parquet(f"{folder}/parts")
+    sizes = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row per part
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes.select("part", F.coalesce(before, F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{folder}/parts")
+
+
+def _placed_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks with `first` counted from the first id of the file."""
+    parts = spark.read.parquet(f"{folder}/parts").withColumnRenamed("part", "of")
+    blocks = spark.read.parquet(f"{folder}/blocks").join(parts, F.col("part") == F.col("of"))
+    return blocks.withColumn("first", F.col("first") + F.col("start")).drop("of", "start")
+
+
+def _code_of(spark: SparkSession, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    table = spark.read.parquet(f"{folder}/code").toPandas()
+    return table["id"].to_numpy(np.int64), table["length"].to_numpy(np.int64)
+
+
+def read_ids(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """(start, ids): the ids at places `first` to `last` - 1 of a token file, a row for each block they lie in.
+
+    Of a block only what lies between the checkpoint before the first id asked for and the last is decoded.
+    """
+    ids, lengths = _code_of(spark, folder)
+    n = F.expr("aggregate(doc_tokens, 0L, (a, x) -> a + x)")
+    blocks = _placed_blocks(spark, folder).withColumn("n", n).where((F.col("first") < last) & (F.col("first") + F.col("n") > first))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Code(ids, lengths)
+        for batch in batches:
+            for row in batch.to_pylist():
+                low, high = max(0, first - row["first"]), min(row["n"], last - row["first"])
+                begin = low // STRIDE  # the checkpoint to begin at
+                chosen = np.array(row["checkpoints"][begin : -(-high // STRIDE)])
+                skipped = int(chosen[0]) // 8  # bytes before it
+                payload = row["payload"][skipped:]
+                (decoded,) = code.decode([payload], [chosen - 8 * skipped], [high - begin * STRIDE])
+                shown = decoded[low - begin * STRIDE :].tolist()
+                columns = [pa.array([row["first"] + low]), pa.array([shown], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["start", "ids"])
+
+    return blocks.select("first", "n", "checkpoints", "payload").mapInArrow(run, "start long, ids array<int>")
 
 
 def read_token_file(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
@@ -278,11 +321,8 @@ def read_token_file(spark: SparkSession, folder: str, digest: bool = False) -> D
     With `digest` the ids are replaced by ids_crc32, the unsigned CRC-32 of the ids as little-endian
     32-bit numbers.
     """
-    table = spark.read.parquet(f"{folder}/code").toPandas()
-    ids, lengths = table["id"].to_numpy(np.int64), table["length"].to_numpy(np.int64)
-    parts = spark.read.parquet(f"{folder}/parts").withColumnRenamed("part", "of")
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    blocks = blocks.join(parts, F.col("part") == F.col("of")).withColumn("first", F.col("first") + F.col("start"))
+    ids, lengths = _code_of(spark, folder)
+    blocks = _placed_blocks(spark, folder)
     last = "ids_crc32" if digest else "ids"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

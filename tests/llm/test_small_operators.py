@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -19,6 +20,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tallywise.llm import (
     bpe_sql,
+    common,
     decontaminate,
     language_id,
     page_text,
@@ -130,6 +132,39 @@ def test_token_file_round_trip(spark, monkeypatch, block):
     assert ids == sorted(ids)
 
 
+def test_ids_are_read_from_a_checkpoint(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "BLOCK", 3000)
+    monkeypatch.setattr(token_files, "PART_TOKENS", 9000)
+    df = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40")
+    folder = str(tmp_path / "ids")
+    token_files.write_token_file(df, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    rows = token_files.read_token_file(spark, folder).orderBy("doc_id").collect()
+    every = [x for r in rows for x in r.ids]
+    assert [r.start for r in rows] == [sum(q.n_tokens for q in rows[:i]) for i in range(len(rows))]
+    for first, last in ((0, 1), (0, len(every)), (511, 513), (1234, 5678), (1024, 1536), (len(every) - 1, len(every) + 10), (5, 5)):
+        read = token_files.read_ids(spark, folder, first, last).orderBy("start").collect()
+        assert [x for r in read for x in r.ids] == every[first:last]
+        assert all(r.ids == every[r.start : r.start + len(r.ids)] for r in read)
+
+
+def test_pieces_are_those_of_the_rule():
+    """Cut before each run of blanks and line breaks after a visible character, unless there is other white space."""
+    import random
+
+    chance = random.Random(4)
+    texts = ["".join(chance.choices(" \n\n ab\u00e9\u201c\u00a0\u3000\t\x1f\0", [9, 4, 2, 9, 20, 20, 5, 5, 1, 1, 1, 1, 2], k=chance.randrange(25))) for _ in range(3000)]
+    texts += ["", " ", "\n \n", "a", " a", "a ", "\u201cb c\u201d"]
+    for column in (pa.array(texts), pa.array(texts)[7:2000], pa.array([""]), pa.array([], pa.string())):
+        pieces, index, firsts = common.cut_pieces(column)
+        shown = [p.decode() for p in pieces]
+        for i, text in enumerate(column.to_pylist()):
+            whole = re.search(r"[^\S \n]", text) is not None
+            want = ([text] if text else []) if whole else re.findall(r"[ \n]*[^ \n]+|[ \n]+", text)
+            assert [shown[k] for k in index[firsts[i] : firsts[i + 1]]] == want
+        octets, bounds = common.gathered(pieces, index, firsts)
+        assert [octets[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])] == column.to_pylist()
+
+
 def test_empty_token_file(spark):
     assert token_files.round_trip(empty(spark), public_tokenizers.path("byte_bpe_50k.json")).collect() == []
 
