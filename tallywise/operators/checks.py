@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tallywise.functions.texts import is_true_text
 from tallywise.operators.profile import union_all
@@ -55,6 +55,23 @@ def value_checks(df: DataFrame, violations: dict[str, Column]) -> DataFrame:
     return df.agg(F.array(*counted).alias("checks")).select(F.inline("checks"))
 
 
+def observed_checks(df: DataFrame, violations: dict[str, Column], name: str) -> tuple[DataFrame, Observation]:
+    """The same counts as ``value_checks``, taken while something else reads the table.
+
+    Gives back the table and an observation. Whatever action is run on the table fills the observation;
+    ``observed_rows`` then has the checks, without a scan of their own. The action has to read the
+    whole table: a limit or a filter above it would leave rows out.
+    """
+    counts = [F.count_if(bad).alias(check) for check, bad in violations.items()]
+    observation = Observation(name)
+    return df.observe(observation, *counts), observation
+
+
+def observed_rows(spark: SparkSession, observation: Observation) -> DataFrame:
+    """(check_name, violations) of an observation that an action has filled; one row per check."""
+    return spark.createDataFrame(list(observation.get.items()), "check_name string, violations bigint")
+
+
 def positive(column: str) -> Column:
     return F.col(column) <= 0
 

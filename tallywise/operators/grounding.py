@@ -28,6 +28,7 @@ _NUMBERS = "array<double>"
 _SEAM = 50.0
 _STEP = 0.5
 _GROWTH = 1.005
+_BEGINNINGS = (8, 3)  # characters that names are filed under
 _LARGEST = sys.float_info.max  # only what is not finite lies beyond
 
 
@@ -150,6 +151,33 @@ def numbers_grounded(
     )
 
 
+def _beginning(entity: Column) -> Column:
+    """The part of a name it is filed under: its first eight characters, or three, or all if it is shorter."""
+    long, short = _BEGINNINGS
+    return F.when(F.length(entity) >= long, F.substring(entity, 1, long)).otherwise(F.substring(entity, 1, short))
+
+
+def _mentioned(names: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, entity, hit) of the names that occur in the text of their id.
+
+    Names are filed under (id, beginning), and a text asks for each beginning that it holds anywhere. So a
+    text with a million records is spread over as many keys as their names have beginnings, and
+    only names whose beginning occurs meet the text itself.
+    """
+    said = F.col(text_col)
+
+    def parts(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(said), F.lit(1))), lambda i: F.substr(said, i, F.lit(size)))
+
+    sizes = range(1, _BEGINNINGS[1] + 1)
+    held = F.array_distinct(F.flatten(F.array(*[parts(s) for s in (*sizes, _BEGINNINGS[0])])))
+    asked = texts.where(said.isNotNull()).select(id_col, F.explode(held).alias("beginning")).distinct()
+    filed = names.withColumn("beginning", _beginning(F.col("entity")))
+    likely = filed.join(asked, [id_col, "beginning"], "left_semi").select(id_col, "entity")
+    read = texts.select(id_col, said.alias("said"))
+    return likely.join(read, id_col).filter(F.contains("said", "entity")).select(id_col, "entity", F.lit(1).alias("hit"))
+
+
 def entities_grounded(
     texts: DataFrame, evidence: DataFrame, id_col: str, text_col: str = "text"
 ) -> DataFrame:
@@ -165,13 +193,7 @@ def entities_grounded(
         record_entity(evidence).alias("entity"),
         record_measures(evidence, id_col).alias("numbers"),
     ).filter(F.col("entity") != "")
-    mentioned = (
-        records.select(id_col, "entity")
-        .distinct()
-        .join(texts.select(id_col, F.col(text_col).alias("said")), id_col)
-        .filter(F.contains("said", "entity"))
-        .select(id_col, "entity", F.lit(1).alias("hit"))
-    )
+    mentioned = _mentioned(records.select(id_col, "entity").distinct(), texts, id_col, text_col)
     owned = (
         records.select(id_col, "entity", F.explode("numbers").alias("number"))
         .distinct()

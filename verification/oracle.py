@@ -782,6 +782,20 @@ COLUMN_PROFILE = " UNION ALL ".join(
 )
 
 
+def merged_profile() -> str:
+    """What merged sketches know exactly; the estimates have to be near."""
+
+    def column(table: str, name: str, kind: str) -> str:
+        numeric = kind in ("int", "bigint", "double")
+        least, most = (f"{f}({name})::DOUBLE" if numeric else "NULL::DOUBLE" for f in ("min", "max"))
+        return f"""SELECT '{table}' AS table_name, '{name}' AS column_name, '{kind}' AS data_type,
+        count(*) AS row_count, count(*) - count({name}) AS missing_count, {str(numeric).lower()} AS is_numeric,
+        {str(kind == 'timestamp_ntz').lower()} AS is_datelike, {least} AS smallest, {most} AS largest,
+        true AS distinct_is_near, true AS quantiles_in_order FROM {table}"""
+
+    return " UNION ALL ".join(column(t, name, kind) for t in ("orders", "lineitem") for name, kind in COLUMNS[t])
+
+
 def candidate_columns() -> str:
     numeric = ", ".join(text(c) for c in fixed.NUMERIC_CONCEPTS)
     concepts = ", ".join(f"({text(c)})" for c in fixed.CONCEPT_SYNONYMS)
@@ -1342,6 +1356,9 @@ _STATEMENTS: dict[str, str] = {
     "column_profile": COLUMN_PROFILE,
     "dataset_profile": dataset_profile(),
     "datelike_columns": DATELIKE,
+    "merged_profile": merged_profile(),
+    "stored_date_range": """SELECT min(order_date)::VARCHAR AS first_order_date, max(order_date)::VARCHAR AS last_order_date,
+        min(order_id) AS first_order_id, max(order_id) AS last_order_id FROM sales""",
     "suggested_mapping": suggested_mapping(),
     "candidate_columns": candidate_columns(),
     "canonical_frame": CANONICAL,
@@ -1375,6 +1392,7 @@ _STATEMENTS: dict[str, str] = {
     "referential_orphans": ORPHANS,
     "one_to_one_check": ONE_TO_ONE,
     "range_checks": RANGES,
+    "observed_checks": RANGES,
     "flag_consistency": FLAGS,
 }
 

@@ -20,6 +20,7 @@ from tallywise.operators import (
     marketing,
     profile,
     returns,
+    sketches,
     stats,
     targets,
 )
@@ -38,8 +39,10 @@ from tallywise.sources.files import (
     read_tsv,
     records,
 )
+from tallywise.sources.footers import bounds
 from tallywise.sources.json_files import bad_json, read_json
 from tallywise.sources.retail import load_retail_tables
+from tallywise.sources.written import written
 from verification import views
 from verification.scratch import as_delimited, scratch_folder
 
@@ -53,6 +56,19 @@ PROFILED = ("lineitem", "orders", "customer", "documents")
 MAPPED = ("orders", "lineitem", "customer", "part", "events", "documents", "benchmark", "nation", "supplier")
 
 
+SKETCH_ERROR = 0.04  # five standard deviations of the distinct counts
+
+
+def _range_checks() -> dict[str, Column]:
+    return {
+        "quantity is positive": checks.positive("l_quantity"),
+        "price is not negative": checks.not_negative("l_extendedprice"),
+        "discount is a fraction": checks.within("l_discount", 0, 1),
+        "discount at most 5 %": checks.within("l_discount", 0, 0.05),
+        "discount at most tax": checks.at_most("l_discount", "l_tax"),
+    }
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles, dates and timestamps as text: the same in every engine."""
 
@@ -251,6 +267,38 @@ def _dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.union_all([_tagged(t, profile.dataset_profile(df)) for t, df in frames.items()])
 
 
+def _merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of a table sketched apart and united: exact where it is exact, else near enough?"""
+    found = []
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        df = views.table(spark, sf_dir, name)
+        batches = [written(sketches.sketched(df.where(F.col(key) % 2 == part))) for part in (0, 1)]
+        estimated = sketches.sketched_profile(sketches.merged(*batches))
+        exact = profile.column_profile(df).select("column_name", F.col("distinct_count").alias("exact"))
+        near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * SKETCH_ERROR
+        ordered = F.coalesce(F.col("quantile_25") <= F.col("quantile_75"), F.lit(True))
+        shown = estimated.join(exact, "column_name").select(
+            "column_name", "data_type", "row_count", "missing_count", "is_numeric", "is_datelike", "smallest", "largest",
+            near.alias("distinct_is_near"), ordered.alias("quantiles_in_order"),
+        )
+        found.append(_tagged(name, shown))
+    return profile.union_all(found)
+
+
+def _stored_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last day of the sales and of the orders' keys, from the footers of a stored table."""
+    folder = scratch_folder(spark)
+    views.retail(spark, sf_dir).sales.select("order_date", "order_id").write.parquet(folder)
+    return spark.createDataFrame([bounds(spark, folder, "order_date", "order_id").first()])
+
+
+def _observed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range checks counted while the line items are written by day of shipping."""
+    lines, observation = checks.observed_checks(views.table(spark, sf_dir, "lineitem"), _range_checks(), "ranges")
+    written(lines.groupBy("l_shipdate").agg(F.sum("l_quantity").alias("quantity")))
+    return checks.observed_rows(spark, observation)
+
+
 def _as_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their date as text in several forms, good and bad."""
     day, key = F.col("o_orderdate"), F.col("o_orderkey")
@@ -363,16 +411,7 @@ def _one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.value_checks(
-        views.table(spark, sf_dir, "lineitem"),
-        {
-            "quantity is positive": checks.positive("l_quantity"),
-            "price is not negative": checks.not_negative("l_extendedprice"),
-            "discount is a fraction": checks.within("l_discount", 0, 1),
-            "discount at most 5 %": checks.within("l_discount", 0, 0.05),
-            "discount at most tax": checks.at_most("l_discount", "l_tax"),
-        },
-    )
+    return checks.value_checks(views.table(spark, sf_dir, "lineitem"), _range_checks())
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,6 +515,8 @@ _BUILDERS: dict[str, Query] = {
     "column_profile": _column_profile,
     "dataset_profile": _dataset_profile,
     "datelike_columns": _datelike,
+    "merged_profile": _merged_profile,
+    "stored_date_range": _stored_date_range,
     "suggested_mapping": _suggested_mapping,
     "candidate_columns": _candidate_columns,
     "canonical_frame": _canonical_sums,
@@ -519,6 +560,7 @@ _BUILDERS: dict[str, Query] = {
     "referential_orphans": _orphans,
     "one_to_one_check": _one_to_one,
     "range_checks": _ranges,
+    "observed_checks": _observed_checks,
     "flag_consistency": _flags,
 }
 
