@@ -5,6 +5,10 @@ under a '0' are ignored. A document and a benchmark item that agree except for s
 hash of a mask whose ignored places meet the changed words. Shared hashes give places where the item
 may stand; there the words of both are compared one by one.
 
+The masks are chosen so that whatever words are changed, as many as the comparison allows, in a stretch
+of 11 to 20 words, at least one place of one mask meets none of them: a search over all sets of
+changed words has shown it, and a test repeats it.
+
 The hashes of the items are sent to all tasks in slices of at most SLICE numbers, one pass over the
 documents for each slice, so a task never holds more than one slice.
 """
@@ -20,11 +24,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallywise.llm.common import WORDS, chunks, mixed, plain_texts, rows_by_key, stored, text_key
 
-MASKS = ("11011001011", "10110111001", "11101000111")
-SPAN = 11
+MASKS = ("1111011", "110010111", "1101000111", "111100011")
+SPAN = 11  # words that an item needs to be found with changed words
 SLICE = 1_000_000
 COMPARED = 20  # words that are compared together; all words of a shorter item
 AGREE = 0.8  # share of them that has to be equal
+IN_A_ROW = 13  # equal words in a row that always count, and words that an item cut off at an edge must have
 WORD = re.compile(r"\w+")
 WEIGHTS = mixed(np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -126,6 +131,24 @@ def _places(documents: DataFrame, wanted, bits, lengths: list[int], margin: int)
     return documents.mapInArrow(run, schema)
 
 
+def agree(alike: np.ndarray, item_words: int) -> bool:
+    """Do the words of an item that stand opposite words of a document agree with them?
+
+    Enough of 20 words in a row are equal, or of all words of a shorter item; or 13 in a row are. Where a
+    document begins or ends inside an item, enough of the words opposite are, if there are 13.
+    """
+    width = min(COMPARED, item_words)
+    if len(alike) < width:
+        width = len(alike)
+        if width < IN_A_ROW:
+            return False
+    same = np.concatenate(([0], np.cumsum(alike)))
+    if (same[width:] - same[:-width]).max() >= AGREE * width:
+        return True
+    run = min(IN_A_ROW, len(alike))
+    return run == IN_A_ROW and bool(((same[run:] - same[:-run]) == run).any())
+
+
 def _agreement(pairs: DataFrame) -> DataFrame:
     """Compares an item with the words of a document that stand where it may stand."""
     kind = pairs.schema["item"].dataType.simpleString()
@@ -140,13 +163,10 @@ def _agreement(pairs: DataFrame) -> DataFrame:
                 low, high = max(0, -start), min(len(b), len(a) - start)
                 if low >= high:
                     continue
-                same = np.concatenate(([0], np.cumsum(a[start + low : start + high] == b[low:high])))
-                width = min(COMPARED, len(b))
-                if len(same) <= width:
-                    continue
-                if (same[width:] - same[:-width]).max() >= AGREE * width:
+                alike = a[start + low : start + high] == b[low:high]
+                if agree(alike, len(b)):
                     kept.append(row)
-                    equal.append(int(same[-1]))
+                    equal.append(int(alike.sum()))
                     compared.append(high - low)
                     places.append(shift + low)
             taken = batch.select(["doc_id", "text_hash", "item", "n"]).take(pa.array(kept, pa.int64()))
@@ -170,8 +190,9 @@ def contaminated(
     """One row for each different document and item that overlap: their keys and the best overlap.
 
     Columns (doc_id, text_hash, item, item_words, n_equal, n_compared, at): n_equal of the n_compared
-    words that stand opposite each other are equal, from word `at` of the document on. There are 20
-    words in a row (all, of a shorter item) of which at least four in five are equal. Case and
+    words that stand opposite each other are equal, from word `at` of the document on. Of 20 words in a
+    row (all, of a shorter item) at least four in five are equal, or 13 in a row are; where a document
+    begins or ends inside an item, four in five of the words opposite, 13 or more. Case and
     punctuation do not count. Texts that are null or have no word overlap with nothing; items with a
     null id keep it; items of fewer than 11 words have to stand there word by word.
     """

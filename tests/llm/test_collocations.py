@@ -15,9 +15,15 @@ from tallywise.llm.oracles import ORACLE_SQL
 from tallywise.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
+
 SCHEMA = "text string, lang string, g string, phrase string, n string"
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(monkeypatch):
+    monkeypatch.setattr(co, "PARTS", 16)
+
+
 def brute(rows, least=30, pct=80, top=2000):
     f, n = collections.Counter(), collections.Counter()
     for text, g in rows:

@@ -376,6 +376,61 @@ def test_changed_passages_are_found_and_clean_texts_are_not(spark):
     assert decontaminate.contaminated(df, benchmark.where("false")).collect() == []
 
 
+def test_masks_meet_every_set_of_changed_words():
+    """All ways to change as many words of 11 to 20 as are allowed: some mask lies on none of them."""
+    from itertools import combinations
+
+    for n in range(decontaminate.SPAN, decontaminate.COMPARED + 1):
+        most = n - math.ceil(decontaminate.AGREE * n - 1e-9)
+        changed = np.array([sum(1 << i for i in c) for c in combinations(range(n), most)])
+        met = np.zeros(len(changed), bool)
+        for mask in decontaminate.MASKS:
+            bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+            for place in range(n - len(mask) + 1):
+                met |= (changed & (bits << place)) == 0
+        assert met.all(), n
+
+
+def brute_overlaps(documents, items):
+    """(document, item) pairs by laying every item on every place of every document."""
+    out = set()
+    for doc, text in documents:
+        a = decontaminate.word_hashes(text)
+        for item, words in items:
+            b = decontaminate.word_hashes(words)
+            same = a[:, None] == b[None, :]
+            if not len(b) or same.sum() < min(9, len(b)):
+                continue
+            for shift in range(-len(b) + 1, len(a)):
+                alike = np.diagonal(same, -shift)
+                if len(alike) >= min(len(b), 11) and alike.sum() >= min(9, len(b)) and decontaminate.agree(alike, len(b)):
+                    out.add((doc, item))
+                    break
+    return out
+
+
+def test_overlaps_equal_brute_force(spark):
+    """Planted passages with as many changed words as allowed, anywhere, and cut off by either end; and the tables."""
+    rng = np.random.default_rng(8)
+    items = [[f"b{i}_{k}" for k in range(n)] for i, n in enumerate((11, 12, 13, 15, 17, 19, 20, 24, 33, 40, 7))]
+    rows = []
+    for i in range(400):
+        own = [f"w{x}" for x in rng.integers(0, 500, int(rng.integers(0, 30)))]
+        passage = list(items[i % len(items)])
+        low = int(rng.integers(0, 12)) if i % 3 == 0 else 0
+        high = len(passage) - (int(rng.integers(0, 12)) if i % 3 == 1 else 0)
+        for k in rng.choice(len(passage), min(len(passage), int(rng.integers(0, 7))), replace=False):
+            passage[k] = "changed"
+        rows.append((i, " ".join((own if i % 3 else []) + passage[low:high] + (own if i % 3 != 1 else []))))
+    named = [(i, " ".join(x)) for i, x in enumerate(items)]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(named, "item_id long, text string"))
+    want = brute_overlaps(rows, named)
+    assert len(want) > 100 and {(r.doc_id, r.item) for r in found.collect()} == want
+    tables = [spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark")]
+    rows, named = ([tuple(r) for r in t.select(t.columns[0], "text").collect()] for t in tables)
+    assert {(r.doc_id, r.item) for r in decontaminate.contaminated(*tables).collect()} == brute_overlaps(rows, named)
+
+
 def test_slices_of_the_benchmark_give_the_same(spark, monkeypatch):
     table = {n: spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark")}
     whole = pairs(decontaminate.contaminated(table["documents"], table["benchmark"]), "item", "n_equal", "at")
