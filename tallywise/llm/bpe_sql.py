@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tallywise.llm.common import chunks, cut_pieces, gathered, looked_up
+from tallywise.llm.common import chunks, cut_pieces, gathered, looked_up, safe_marks
 
 WORDS_AT_ONCE = 40_000  # distinct words in one recursive query
 REMEMBERED = 400_000  # pieces that a worker process keeps from batch to batch
@@ -67,6 +67,7 @@ class Codec:
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
+        self.marks = safe_marks(lambda t: [m.start() for m in self.pattern.finditer(t)])
         merges = [
             (ranks[t[:k]], ranks[t[k:]], rank)
             for t, rank in ranks.items()
@@ -108,7 +109,7 @@ class Codec:
             out.append((len(shown), " ".join([x[0] for x in shown]), bytes.fromhex("".join([x[1] for x in shown]))))
         return out
 
-    def learn(self, new: set[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
+    def learn(self, new: list[bytes]) -> dict[bytes, tuple[int, bytes, bytes]]:
         """Every piece with its number of ids, its ids, each after a blank, and its decoded bytes."""
         split = {}
         for piece in new:
@@ -131,7 +132,7 @@ class Codec:
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by blanks, decoded bytes) of each text."""
-        pieces, index, firsts = cut_pieces(texts)
+        pieces, index, firsts = cut_pieces(texts, self.marks)
         found = looked_up(pieces, self.pieces, self.learn, REMEMBERED)
         sizes = np.array([f[0] for f in found], np.int64)
         before = np.concatenate(([0], np.cumsum(sizes[index])))[firsts].tolist()

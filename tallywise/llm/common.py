@@ -164,12 +164,30 @@ DOUBTFUL = np.zeros(256, bool)
 DOUBTFUL[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def cut_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def safe_marks(starts_of) -> bytes:
+    """Those of , . ; : ! ? that a pattern always parts from an A-Z letter in front, whatever follows.
+
+    `starts_of` gives the places where the pattern begins a new piece of a text.
+    """
+    safe = b""
+    for mark in ",.;:!?":
+        cases = [(a, a + mark + b) for a in ("a", "Z", " ab", "'s", "1a", ".a") for b in ("", " ", "\n", mark, "a", "1", "'", ". ")]
+        if all(len(a) in starts_of(text) for a, text in cases):
+            safe += mark.encode()
+    return safe
+
+
+def cut_pieces(texts: pa.Array, marks: bytes = b"") -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct pieces of some texts, the number of each piece of all texts, and where each text's pieces begin.
 
-    A text is cut before each run of blanks and line breaks after a visible character. A text that has other
-    white space is one piece, an empty one has none. A byte-level pattern never matches across such a
-    place: before it ends a word, and white space looks ahead only.
+    A text is cut before each run of blanks and line breaks after a visible character, and before each of
+    the `marks` after an A-Z letter. A text that has other white space is one piece, an empty one has
+    none. A byte-level pattern never matches across such a place: before it ends a word, and white space
+    looks ahead only.
     """
     column = texts.cast(pa.large_binary())
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -179,6 +197,10 @@ def cut_pieces(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     blank = BLANK[octets]
     cut = np.zeros(len(octets), bool)
     cut[1:] = blank[1:] & ~blank[:-1]
+    if marks:
+        is_mark = np.zeros(256, bool)
+        is_mark[list(marks)] = True
+        cut[1:] |= is_mark[octets[1:]] & LETTER[octets[:-1]]
     cut[: bounds[0]] = False
     doubtful = np.flatnonzero(DOUBTFUL[octets])
     for i in np.unique(np.searchsorted(bounds, doubtful, "right") - 1).tolist():
@@ -205,9 +227,9 @@ def gathered(values: list[bytes], index: np.ndarray, firsts: np.ndarray) -> tupl
 
 
 def looked_up(pieces: list[bytes], known: dict, learn, limit: int) -> list:
-    """What `known` has for the pieces; new ones go to `learn` together, as a set."""
+    """What `known` has for distinct pieces; new ones go to `learn` together."""
     found = list(map(known.get, pieces))
-    new = {p for p, v in zip(pieces, found) if v is None}
+    new = [p for p, v in zip(pieces, found) if v is None]
     if not new:
         return found
     fresh = learn(new)

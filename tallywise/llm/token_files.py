@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallywise.llm.common import chunks, cut_pieces, gathered, looked_up, shared_folder, stored
+from tallywise.llm.common import chunks, cut_pieces, gathered, looked_up, safe_marks, shared_folder, stored
 
 LIMIT = 20  # bits of the longest code; enough for a million different ids
 BLOCK = 1 << 16
@@ -47,20 +47,23 @@ class Pieces:
         for token, number in vocabulary.items():
             self.sizes[number] = len(token)
         self.known: dict[bytes, bytes] = {}
+        splits, plain = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer is None
+        self.marks = safe_marks(lambda t: [a for _, (a, _) in splits.pre_tokenize_str(t)]) if splits and plain else b""
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, np.int64) for c in coded]
 
-    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        pieces = {p: p.decode("utf-8", "surrogatepass") for p in new}
-        joinable = [p for p, text in pieces.items() if p[0] in b" \n" and not text[-1].isspace()]
-        alone = [p for p, text in pieces.items() if p[0] not in b" \n" or text[-1].isspace()]
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        joinable, alone = [], []
+        for p in new:  # with a blank in front and a visible end
+            visible = 32 < p[-1] < 128 or not p.decode("utf-8", "surrogatepass")[-1].isspace()
+            (joinable if p[0] in b" \n" and visible else alone).append(p)
         out = {}
         for at in range(0, len(joinable), 4_000):
             group = joinable[at : at + 4_000]
-            (ids,) = self._ids(["".join([pieces[p] for p in group])])
-            ends = np.cumsum([len(p) for p in group])
+            (ids,) = self._ids([b"".join(group).decode("utf-8", "surrogatepass")])
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
             reached = np.cumsum(self.sizes[ids])
             cuts = np.searchsorted(reached, ends)
             if len(ids) and cuts[-1] < len(ids) and (reached[cuts] == ends).all():
@@ -71,13 +74,13 @@ class Pieces:
                 alone += group
         for at in range(0, len(alone), 4_000):
             group = alone[at : at + 4_000]
-            coded = self._ids([pieces[p] for p in group])
+            coded = self._ids([p.decode("utf-8", "surrogatepass") for p in group])
             out.update((p, ids.astype(self.kind).tobytes()) for p, ids in zip(group, coded))
         return out
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each text's begin and end."""
-        pieces, index, firsts = cut_pieces(texts)
+        pieces, index, firsts = cut_pieces(texts, self.marks)
         values = [*looked_up(pieces, self.known, self._learn, REMEMBERED), np.array([end], self.kind).tobytes()]
         index = np.insert(index.astype(np.int64), firsts[1:], len(values) - 1)  # the end id is one more piece of each text
         octets, bounds = gathered(values, index, firsts + np.arange(len(firsts)))

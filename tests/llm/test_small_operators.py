@@ -147,13 +147,21 @@ def test_ids_are_read_from_a_checkpoint(spark, monkeypatch, tmp_path):
         assert all(r.ids == every[r.start : r.start + len(r.ids)] for r in read)
 
 
+def test_marks_are_cut_off_only_where_the_pattern_does_so():
+    starts = lambda pattern: lambda t: [m.start() for m in re.finditer(pattern, t)]
+    assert common.safe_marks(starts(r" ?[A-Za-z]+| ?\d+| ?[^\sA-Za-z\d]+|\s+")) == b",.;:!?"
+    assert common.safe_marks(starts(r"[A-Za-z]+,?|[^A-Za-z]")) == b".;:!?"
+    assert common.safe_marks(starts(r"\S+|\s+")) == b""
+    assert token_files.Pieces(public_tokenizers.path("byte_bpe_50k.json")).marks == b",.;:!?"
+
+
 def test_pieces_are_those_of_the_rule():
     """Cut before each run of blanks and line breaks after a visible character, unless there is other white space."""
     import random
 
     chance = random.Random(4)
-    texts = ["".join(chance.choices(" \n\n ab\u00e9\u201c\u00a0\u3000\t\x1f\0", [9, 4, 2, 9, 20, 20, 5, 5, 1, 1, 1, 1, 2], k=chance.randrange(25))) for _ in range(3000)]
-    texts += ["", " ", "\n \n", "a", " a", "a ", "\u201cb c\u201d"]
+    texts = ["".join(chance.choices(",\n\n ab\u00e9\u201c\u00a0\u3000\t\x1f\0", [9, 4, 2, 9, 20, 20, 5, 5, 1, 1, 1, 1, 2], k=chance.randrange(25))) for _ in range(3000)]
+    texts += ["a,b ,c", "", " ", "\n \n", "a", " a", "a ", "\u201cb c\u201d"]
     for column in (pa.array(texts), pa.array(texts)[7:2000], pa.array([""]), pa.array([], pa.string())):
         pieces, index, firsts = common.cut_pieces(column)
         shown = [p.decode() for p in pieces]
@@ -161,7 +169,9 @@ def test_pieces_are_those_of_the_rule():
             whole = re.search(r"[^\S \n]", text) is not None
             want = ([text] if text else []) if whole else re.findall(r"[ \n]*[^ \n]+|[ \n]+", text)
             assert [shown[k] for k in index[firsts[i] : firsts[i + 1]]] == want
-        octets, bounds = common.gathered(pieces, index, firsts)
+        again, index, firsts = common.cut_pieces(column, b",")
+        assert all(b"," not in p or not re.search(rb"[A-Za-z],", p) or re.search(r"[^\S \n]", p.decode()) for p in again)
+        octets, bounds = common.gathered(again, index, firsts)
         assert [octets[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])] == column.to_pylist()
 
 
