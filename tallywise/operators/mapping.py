@@ -73,21 +73,58 @@ def suggest_mapping(columns: list[ColumnFacts]) -> Mapping:
     not considered) and the column remains free for the concepts that follow.
     Columns whose normalized names collide count as one, the last of them.
     """
-    by_name = {normalized(c.name): c for c in columns}
+    by_name = {c.name: c for c in columns}
     mapping: Mapping = {}
+    for concept, names in _preferences([c.name for c in columns]).items():
+        best = next((by_name[n] for n in names if n not in mapping.values()), None)
+        mapping[concept] = best.name if best and _fits(concept, best) else None
+    return mapping
+
+
+def _preferences(names: list[str]) -> dict[str, list[str]]:
+    """For each concept the columns whose names would do, the best first."""
+    by_name = {normalized(n): n for n in names}
+    found = {}
     for concept, synonyms in CONCEPT_SYNONYMS.items():
         wanted = [normalized(s) for s in synonyms]
         ranked = []
-        for position, (name, column) in enumerate(by_name.items()):
-            if column.name in mapping.values():
-                continue
-            if name in wanted:
-                ranked.append((0, wanted.index(name), column))
-            elif any(w in name for w in wanted):
-                ranked.append((1, position, column))
-        best = min(ranked, key=lambda r: r[:2], default=(0, 0, None))[2]
-        mapping[concept] = best.name if best and _fits(concept, best) else None
-    return mapping
+        for position, (short, name) in enumerate(by_name.items()):
+            if short in wanted:
+                ranked.append((0, wanted.index(short), name))
+            elif any(w in short for w in wanted):
+                ranked.append((1, position, name))
+        found[concept] = [name for *_, name in sorted(ranked)]
+    return found
+
+
+def suggested_mappings(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, concept, column_name) of ``suggest_mapping`` for every table, as a plan.
+
+    Names and types are known when the plan is made; which texts read as dates is one aggregate per
+    table, and the concepts choose their columns one after the other on its single row.
+    """
+    return union_all([_suggested(name, df) for name, df in tables.items()])
+
+
+def _suggested(name: str, df: DataFrame) -> DataFrame:
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    kinds = {f.name: f.dataType for f in df.schema}
+    row = datelike_texts(df, texts) if texts else df.agg(F.array().cast("array<string>").alias("datelike"))
+    row = row.withColumn("taken", F.array().cast("array<string>"))
+    for concept, names in _preferences(df.columns).items():
+        free = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: ~F.array_contains("taken", n))
+        best = F.get(free, F.lit(0))
+        if concept in NUMERIC_CONCEPTS:
+            fits = best.isin(*[n for n in names if is_numeric(kinds[n])])
+        elif concept == "date":
+            fits = best.isin(*[n for n in names if is_date(kinds[n])]) | F.array_contains("datelike", best)
+        else:
+            fits = best.isNotNull()
+        chosen = f"for_{concept}"
+        row = row.withColumn(chosen, F.when(fits, best))
+        row = row.withColumn("taken", F.array_compact(F.array_append("taken", F.col(chosen))))
+    pairs = [F.struct(F.lit(c).alias("concept"), F.col(f"for_{c}").alias("column_name")) for c in CONCEPT_SYNONYMS]
+    return row.select(F.lit(name).alias("table_name"), F.inline(F.array(*pairs)))
 
 
 def _fits(concept: str, column: ColumnFacts) -> bool:

@@ -871,13 +871,44 @@ EXPECTED_MAPPINGS = {
 
 
 def suggested_mapping() -> str:
-    rows = [
-        (t, concept, EXPECTED_MAPPINGS[t].get(concept))
-        for t in MAPPED
-        for concept in fixed.CONCEPT_SYNONYMS
-    ]
-    values = ", ".join(f"({text(t)}, {text(c)}, {text(n) if n else 'NULL'})" for t, c, n in rows)
-    return f"SELECT * FROM (VALUES {values}) v(table_name, concept, column_name)"
+    """The rules over the names and types that the database itself reports, one concept after the other."""
+    short = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+    concepts = ", ".join(
+        f"({i}, {text(c)}, [{', '.join(short.format(text(w)) for w in words)}], {str(c in fixed.NUMERIC_CONCEPTS).lower()})"
+        for i, (c, words) in enumerate(fixed.CONCEPT_SYNONYMS.items())
+    )
+    dated = " UNION ALL ".join(
+        f"SELECT {text(t)} AS t, {text(c)} AS c, coalesce(avg({_reads_as_date(c)}::INT) >= {fixed.DATELIKE_SHARE}, false) AS d FROM {t}"
+        for t in MAPPED for c, kind in COLUMNS[t] if kind == "string"
+    )
+    return f"""WITH RECURSIVE concepts AS (SELECT * FROM (VALUES {concepts}) v(i, concept, words, numeric)),
+    dated AS ({dated}),
+    columns AS (
+        SELECT table_name AS t, column_name AS c, column_index AS place, {short.format('column_name')} AS short,
+            regexp_matches(data_type, 'INT|DOUBLE|FLOAT|DECIMAL') AS is_number,
+            coalesce(d, false) OR regexp_matches(data_type, 'DATE|TIMESTAMP') AS is_day
+        FROM duckdb_columns() LEFT JOIN dated ON t = table_name AND c = column_name
+        WHERE table_name IN ({', '.join(text(t) for t in MAPPED)})
+    ),
+    ranked AS (
+        SELECT i, t, c, numeric, concept, is_number, is_day,
+            CASE WHEN list_contains(words, short) THEN 0 ELSE 1 END AS how,
+            CASE WHEN list_contains(words, short) THEN list_position(words, short) ELSE place END AS place
+        FROM concepts JOIN columns ON len(list_filter(words, lambda w: contains(short, w))) > 0
+    ),
+    chosen AS (
+        SELECT DISTINCT -1 AS i, t, [NULL]::VARCHAR[] AS taken, NULL::VARCHAR AS c FROM columns
+        UNION ALL
+        SELECT s.i + 1, s.t, list_append(s.taken, b.c), b.c
+        FROM chosen s LEFT JOIN LATERAL (
+            SELECT CASE WHEN r.numeric THEN CASE WHEN r.is_number THEN r.c END
+                WHEN r.concept = 'date' THEN CASE WHEN r.is_day THEN r.c END ELSE r.c END AS c
+            FROM ranked r WHERE r.i = s.i + 1 AND r.t = s.t AND NOT list_contains(s.taken, r.c)
+            ORDER BY r.how, r.place LIMIT 1
+        ) b ON true
+        WHERE s.i + 1 < {len(fixed.CONCEPT_SYNONYMS)}
+    )
+    SELECT t AS table_name, concept, c AS column_name FROM chosen JOIN concepts USING (i)"""
 
 
 def _concepts() -> dict[str, set[str]]:

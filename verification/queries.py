@@ -339,15 +339,8 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _mappings(spark: SparkSession, sf_dir: str) -> dict[str, mapping.Mapping]:
-    facts = mapping.column_facts({t: views.table(spark, sf_dir, t) for t in MAPPED})
-    return {t: mapping.suggest_mapping(columns) for t, columns in facts.items()}
-
-
 def _suggested_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.union_all(
-        [_tagged(t, mapping.mapping_rows(spark, m)) for t, m in _mappings(spark, sf_dir).items()]
-    )
+    return mapping.suggested_mappings({t: views.table(spark, sf_dir, t) for t in MAPPED})
 
 
 def _canonical_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
