@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallywise.fixed_values import (
     ANALYSIS_REQUIREMENTS,
@@ -110,21 +110,26 @@ def _suggested(name: str, df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     kinds = {f.name: f.dataType for f in df.schema}
     row = datelike_texts(df, texts) if texts else df.agg(F.array().cast("array<string>").alias("datelike"))
-    row = row.withColumn("taken", F.array().cast("array<string>"))
+    steps = []
     for concept, names in _preferences(df.columns).items():
-        free = F.filter(F.array(*map(F.lit, names)).cast("array<string>"), lambda n: ~F.array_contains("taken", n))
-        best = F.get(free, F.lit(0))
-        if concept in NUMERIC_CONCEPTS:
-            fits = best.isin(*[n for n in names if is_numeric(kinds[n])])
-        elif concept == "date":
-            fits = best.isin(*[n for n in names if is_date(kinds[n])]) | F.array_contains("datelike", best)
-        else:
-            fits = best.isNotNull()
-        chosen = f"for_{concept}"
-        row = row.withColumn(chosen, F.when(fits, best))
-        row = row.withColumn("taken", F.array_compact(F.array_append("taken", F.col(chosen))))
-    pairs = [F.struct(F.lit(c).alias("concept"), F.col(f"for_{c}").alias("column_name")) for c in CONCEPT_SYNONYMS]
-    return row.select(F.lit(name).alias("table_name"), F.inline(F.array(*pairs)))
+        typed = [n for n in names if (is_numeric if concept in NUMERIC_CONCEPTS else is_date)(kinds[n])]
+        fitting = typed if concept in NUMERIC_CONCEPTS or concept == "date" else names
+        lists = [F.array(*map(F.lit, x)).cast("array<string>") for x in (names, fitting)]
+        steps.append(F.struct(lists[0].alias("names"), lists[1].alias("fitting"), F.lit(concept == "date").alias("dated")))
+
+    def choose(chosen: Column, step: Column) -> Column:
+        free = F.filter(step["names"], lambda n: ~F.exists(chosen, lambda c: c.eqNullSafe(n)))
+        fits = lambda n: F.array_contains(step["fitting"], n) | (step["dated"] & F.array_contains("datelike", n))
+        return F.concat(chosen, F.transform(_first(free), lambda n: F.when(fits(n), n)))
+
+    chosen = F.aggregate(F.array(*steps), F.array().cast("array<string>"), choose)
+    named = F.arrays_zip(F.array(*map(F.lit, CONCEPT_SYNONYMS)).alias("concept"), chosen.alias("column_name"))
+    return row.select(F.lit(name).alias("table_name"), F.inline(named).alias("concept", "column_name"))
+
+
+def _first(names: Column) -> Column:
+    """A list of one: the first name, or null."""
+    return F.array(F.get(names, F.lit(0)))
 
 
 def _fits(concept: str, column: ColumnFacts) -> bool:

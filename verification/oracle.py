@@ -793,7 +793,7 @@ def merged_profile() -> str:
         {str(kind == 'timestamp_ntz').lower()} AS is_datelike, {least} AS smallest, {most} AS largest,
         true AS distinct_is_near, true AS quantiles_in_order FROM {table}"""
 
-    return " UNION ALL ".join(column(t, name, kind) for t in ("orders", "lineitem") for name, kind in COLUMNS[t])
+    return " UNION ALL ".join(column(t, name, kind) for t in ("orders", "customer") for name, kind in COLUMNS[t])
 
 
 def candidate_columns() -> str:

@@ -270,7 +270,7 @@ def _dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of a table sketched apart and united: exact where it is exact, else near enough?"""
     found = []
-    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
         df = views.table(spark, sf_dir, name)
         batches = [written(sketches.sketched(df.where(F.col(key) % 2 == part))) for part in (0, 1)]
         estimated = sketches.sketched_profile(sketches.merged(*batches))
