@@ -61,23 +61,35 @@ def infer_types(texts: DataFrame) -> DataFrame:
     )
 
 
+def _has_open_lines(spark: SparkSession, path: str) -> bool:
+    """Is there a line with an odd number of quotes, which a cell may go on after?"""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
     sep: str = ",",
     schema: T.StructType | str | None = None,
     max_rows: int | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A delimited file or folder with a header row.
 
     With a ``schema`` nothing is read until the table is used; without one the types are
     worked out from all values first. Quoted cells may hold separators, doubled quotes
-    and line breaks. For files without line breaks in cells, ``multi_line=False`` lets
-    tasks share a file; a row that does not have the header's number of cells is then an
-    error, never a broken row. There is no row limit unless asked for.
+    and line breaks. Unless ``multi_line`` says whether cells hold line breaks, the lines are looked
+    through: if every line has an even number of quotes, no cell goes on in the next line, and tasks
+    share a file; else a file is one task. With ``multi_line=False`` nothing is looked through, and a row
+    that does not have the header's number of cells is an error, never a broken row. There is no
+    row limit unless asked for.
     """
-    reader = delimited_reader(spark, sep, multi_line)
+    if multi_line is None:
+        multi_line = _has_open_lines(spark, path)
+        reader = delimited_reader(spark, sep).option("multiLine", multi_line)
+    else:
+        reader = delimited_reader(spark, sep, multi_line)
     if schema is not None:
         df = strip_names(reader.schema(schema).csv(path))
     else:

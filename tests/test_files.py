@@ -248,3 +248,22 @@ def test_inventory_in_one_plan(spark, tmp_path, rows):
     assert got["e.png"][3] == "Declined" and got["f"][3] == "Declined" and got["g.pdf"][3] == "Error"
     ingested = {f.name for f in files.ingest(spark, str(tmp_path)).files}
     assert ingested == set(got) | {"void.csv"}
+
+
+def test_files_without_open_lines_are_shared_by_tasks(spark, tmp_path, rows):
+    plain = "n,t\n" + '1,"a, ""b"""\n2,c\n' * 50
+    (tmp_path / "plain.csv").write_text(plain)
+    (tmp_path / "broken.csv").write_text(plain + '3,"d\ne"\n')
+    assert not files._has_open_lines(spark, str(tmp_path / "plain.csv"))
+    assert files._has_open_lines(spark, str(tmp_path / "broken.csv"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        shared, alone = (files.read_csv(spark, str(tmp_path / n)) for n in ("plain.csv", "broken.csv"))
+        assert shared.rdd.getNumPartitions() > 1 and alone.rdd.getNumPartitions() == 1
+        assert shared.count() == 100 and {r["t"] for r in rows(shared)} == {'a, "b"', "c"}
+        assert alone.count() == 101 and "d\ne" in {r["t"] for r in rows(alone)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3\n")
+    assert [tuple(r.values()) for r in rows(files.read_csv(spark, str(tmp_path / "ragged.csv")))] == [(1, 2), (3, None)]
