@@ -28,7 +28,6 @@ _NUMBERS = "array<double>"
 _SEAM = 50.0
 _STEP = 0.5
 _GROWTH = 1.005
-_BEGINNINGS = (8, 3)  # characters that names are filed under
 _LARGEST = sys.float_info.max  # only what is not finite lies beyond
 
 
@@ -77,6 +76,16 @@ def record_entity(df: DataFrame) -> Column:
     return F.coalesce(*named) if named else F.lit(None).cast("string")
 
 
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides. Spark cannot tell how many rows come out of a text, so it would take what is
+    read from large texts for small, and send it whole through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
+def _signless_zeros(numbers: Column) -> Column:
+    return F.transform(numbers, lambda n: n + F.lit(0.0))
+
+
 def text_numbers(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, number) for every different number in a text."""
     return texts.select(F.col(id_col), F.explode(numbers_in(text_col)).alias("number"))
@@ -142,42 +151,15 @@ def numbers_grounded(
         F.lit(False),
     )
     judged = (
-        to_check.join(filed, [id_col, "bucket"], "left")
+        _merged(to_check, filed, [id_col, "bucket"], "left")
         .groupBy(id_col)
         .agg(F.min(supported).alias("supported"))
     )
-    return texts.select(id_col).join(judged, id_col, "left").select(
+    return _merged(texts.select(id_col), judged, id_col, "left").select(
         id_col, F.coalesce("supported", F.lit(True)).alias("numbers_grounded")
     )
 
 
-def _beginning(entity: Column) -> Column:
-    """The part of a name it is filed under: its first eight characters, or three, or all if it is shorter."""
-    long, short = _BEGINNINGS
-    return F.when(F.length(entity) >= long, F.substring(entity, 1, long)).otherwise(F.substring(entity, 1, short))
-
-
-def _mentioned(names: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, entity, hit) of the names that occur in the text of their id.
-
-    Names are filed under (id, beginning), and a text asks for each beginning that it holds anywhere. So a
-    text with a million records is spread over as many keys as their names have beginnings, and
-    only names whose beginning occurs meet the text itself.
-    """
-    said = F.col(text_col)
-
-    def parts(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(said), F.lit(1))), lambda i: F.substr(said, i, F.lit(size)))
-
-    sizes = range(1, _BEGINNINGS[1] + 1)
-    held = F.array_distinct(F.flatten(F.array(*[parts(s) for s in (*sizes, _BEGINNINGS[0])])))
-    asked = texts.where(said.isNotNull()).select(id_col, F.explode(held).alias("beginning")).distinct()
-    filed = names.withColumn("beginning", _beginning(F.col("entity")))
-    likely = filed.join(asked, [id_col, "beginning"], "left_semi").select(id_col, "entity")
-    read = texts.select(id_col, said.alias("said"))
-    return likely.join(read, id_col).filter(F.contains("said", "entity")).select(id_col, "entity", F.lit(1).alias("hit"))
-
-
 def entities_grounded(
     texts: DataFrame, evidence: DataFrame, id_col: str, text_col: str = "text"
 ) -> DataFrame:
@@ -187,30 +169,37 @@ def entities_grounded(
     evidence gives to another entity but not to this one. That is the case exactly
     when some number with an owner is owned by fewer entities than the text mentions,
     so it takes counts per (id, number) and no pairs of entities.
+
+    A record meets its text once. Only the names and numbers that the text holds go on, dealt by
+    (id, entity, number), so the records of one text can be split among tasks; the row without
+    a number stands for the mention itself.
     """
+    said = F.col(text_col)
     records = evidence.select(
         id_col,
         record_entity(evidence).alias("entity"),
-        record_measures(evidence, id_col).alias("numbers"),
+        _signless_zeros(record_measures(evidence, id_col)).alias("numbers"),
     ).filter(F.col("entity") != "")
-    mentioned = _mentioned(records.select(id_col, "entity").distinct(), texts, id_col, text_col)
-    owned = (
-        records.select(id_col, "entity", F.explode("numbers").alias("number"))
-        .distinct()
-        .join(text_numbers(texts, id_col, text_col), [id_col, "number"])
+    read = texts.select(id_col, said.alias("said"), _signless_zeros(numbers_in(said)).alias("found")).where("said is not null")
+    shared = F.array_intersect("numbers", "found")
+    hit = F.contains("said", "entity")
+    met = _merged(records, read, id_col).select(
+        id_col, "entity", hit.alias("hit"), F.explode(F.concat(shared, F.array(F.lit(None).cast("double")))).alias("number")
     )
-    fewest = (
-        owned.join(mentioned, [id_col, "entity"], "left")
-        .groupBy(id_col, "number")
-        .agg(F.count("hit").alias("owners"))
+    kept = met.where(F.col("hit") | F.col("number").isNotNull()).repartition(id_col, "entity", "number").distinct()
+    number = F.col("number")
+    swapped = (
+        kept.groupBy(id_col, "number")
+        .agg(F.count_if("hit").alias("named"))
         .groupBy(id_col)
-        .agg(F.min("owners").alias("owners"))
-    )
-    counted = mentioned.groupBy(id_col).agg(F.count(F.lit(1)).alias("mentions"))
-    swapped = fewest.join(counted, id_col).filter("owners < mentions").select(
-        id_col, F.lit(False).alias("sound")
+        .agg(
+            F.min(F.when(number.isNotNull(), F.col("named"))).alias("owners"),
+            F.max(F.when(number.isNull(), F.col("named"))).alias("mentions"),
+        )
+        .filter("owners < mentions")
+        .select(id_col, F.lit(False).alias("sound"))
     )
-    return texts.select(id_col).join(swapped, id_col, "left").select(
+    return _merged(texts.select(id_col), swapped, id_col, "left").select(
         id_col, F.coalesce("sound", F.lit(True)).alias("entities_grounded")
     )
 

@@ -188,3 +188,28 @@ def test_verified_text(spark):
         3: ("T3", "template"),
         4: ("T4", "template"),
     }
+
+
+def test_nothing_read_from_texts_is_sent_through_the_driver(spark):
+    evidence = spark.sql("SELECT id, 'Urban' AS partner_name, id + 0.5D AS rate FROM range(9)")  # of a known, small size
+    texts = spark.sql("SELECT id, concat('Urban is late in ', id) AS candidate, 'T1' AS template FROM range(9)")
+    plans = [
+        grounding.numbers_grounded(texts, evidence, "id", "candidate"),
+        grounding.entities_grounded(texts, evidence, "id", "candidate"),
+    ]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_one_text_and_zeros_of_either_sign(spark):
+    evidence = spark.createDataFrame(
+        [(1, f"Store {i}", float(i), -0.04) for i in range(300)] + [(1, "", 7.0, 0.0), (1, None, 8.0, 0.0)],
+        "id int, store_name string, sold double, margin double",
+    )
+    said = ["Store 12 sold 12", "Store 12 sold 13", "Store 12 and Store 13", "the margin of Store 5 is 0.0", None]
+    got = []
+    for text in said:
+        texts = spark.createDataFrame([(1, text)], "id int, text string")
+        got.append(grounding.entities_grounded(texts, evidence, "id").first().entities_grounded)
+    # "Store 1" is mentioned wherever "Store 12" is, and 12 is not its own number
+    assert got == [brute_entities(t or "", [tuple(r)[1:] for r in evidence.collect() if r.store_name]) for t in said]
