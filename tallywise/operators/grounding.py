@@ -216,7 +216,7 @@ def verified_text(
     key, checked = "_checked", "_candidate"
     named = candidates.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(candidate_col).alias("text")))
     different = named.select(key, F.col(id_col), F.col(candidate_col).alias(checked)).distinct()
-    facts = evidence.join(different.select(key, F.col(id_col)), id_col).drop(id_col)
+    facts = _merged(evidence, different.select(key, F.col(id_col)), id_col).drop(id_col)
     texts = different.select(key, checked)
     numbers = numbers_grounded(texts, facts, key, checked)
     names = entities_grounded(texts, facts, key, checked)
@@ -228,7 +228,7 @@ def verified_text(
     )
     passes = F.col("_failed").isNull() & (F.length(F.coalesce(candidate_col, F.lit(""))) > 0)
     return (
-        named.join(failed, F.col(key).eqNullSafe(F.col("_failed")), "left")
+        _merged(named, failed, F.col(key).eqNullSafe(F.col("_failed")), "left")
         .select(
             id_col,
             F.when(passes, F.col(candidate_col)).otherwise(F.col(template_col)).alias("text"),

@@ -196,6 +196,7 @@ def test_nothing_read_from_texts_is_sent_through_the_driver(spark):
     plans = [
         grounding.numbers_grounded(texts, evidence, "id", "candidate"),
         grounding.entities_grounded(texts, evidence, "id", "candidate"),
+        grounding.verified_text(texts, evidence, "id"),
     ]
     for df in plans:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
