@@ -98,14 +98,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, remembered for a bounded number of words."""
+    """64-bit hash of each word, remembered for a bounded number of words.
 
-    LIMIT = 400_000
+    A worker process serves one operator after another, and a corpus has far more rare words than common
+    ones: when the memory is full, all are forgotten, and those that are common come back at once.
+    """
+
+    LIMIT = 100_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         value = xxhash.xxh64_intdigest(word, seed=7)
-        if len(self) < self.LIMIT:
-            self[word] = value
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -503,3 +503,16 @@ def test_stages_keep_the_columns_of_odd_tables(spark):
         assert stage(spark, empty(spark), DATA).collect() == [], name
         docs = out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_word_hashes_serve_the_next_operator_when_full():
+    from tallywise.llm.common import WordHashes
+
+    class Small(WordHashes):
+        LIMIT = 3
+
+    hashes = Small()
+    before = hashes.of([b"a", b"b", b"c"]).tolist()  # the bytes of one operator fill the memory
+    hashes.of(["x"])
+    assert "x" in hashes and len(hashes) <= Small.LIMIT
+    assert hashes.of([b"a", b"b", b"c"]).tolist() == before
