@@ -216,7 +216,8 @@ def cut_pieces(texts: pa.Array, marks: bytes = b"") -> tuple[list[bytes], np.nda
     offsets = np.append(starts, bounds[-1])
     pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), data or pa.py_buffer(b"")])
     coded = pieces.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(starts, bounds)
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+    return distinct, coded.indices.to_numpy(), np.searchsorted(starts, bounds)
 
 
 def gathered(values: list[bytes], index: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
