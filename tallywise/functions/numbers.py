@@ -70,10 +70,11 @@ def round_as_printed(c: Column | str, places: int) -> Column:
 
     ``round_to`` multiplies first, and that product may land on a half that the number
     itself does not hold (0.35 * 10 is exactly 3.5, but 0.35 is stored slightly below).
+    A small negative number becomes 0, not -0, which ``array_distinct`` would keep beside 0.
     """
     x = as_column(c)
     printed = F.replace(_printed(x, places), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(F.abs(x) < _WHOLE_FROM, printed).otherwise(x)
+    return F.when(F.abs(x) < _WHOLE_FROM, printed + F.lit(0.0)).otherwise(x)
 
 
 def show(c: Column | str, places: int, signed: bool = False, grouped: bool = False) -> Column:

@@ -32,6 +32,13 @@ def test_numbers_in_text(spark):
             assert set(got[i]) == extracted(t), t
 
 
+def test_a_zero_is_one_number_whatever_its_sign(spark):
+    df = spark.createDataFrame([(-0.03, False, "-0.04 of 0"), (2.0, False, "")], "z double, b boolean, t string")
+    got = df.select(grounding.record_numbers(df).alias("all"), numbers_in("t").alias("said"), round_as_printed("z", 1).alias("z"))
+    assert [(str(r["all"]), str(r.said)) for r in got.collect()] == [("[0.0]", "[0.0]"), ("[2.0, 0.0]", "[]")]
+    assert str(got.first().z) == "0.0"
+
+
 def test_printing_agrees_with_the_stored_value(spark):
     rng = random.Random(3)
     values = [rng.randint(-10**7, 10**7) / d for d in (40, 100, 1000) for _ in range(300)]
