@@ -2,14 +2,15 @@
 
 Whole-number ids are counted by bitmaps: rows are combined where they are read, per group and range of
 32,768 ids, into sums and one bitmap, and only these travel. Ids of other types are counted from the
-distinct pairs of group and id, which carry no amounts.
+distinct pairs of group and id, which carry no amounts; where groups are many, pairs hardly ever repeat and
+are sorted, as a hash table would hold nearly every row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallywise.functions.numbers import money
 
@@ -46,9 +47,14 @@ def _bitmaps(df: DataFrame, keys: list[str], sums: dict[str, Column], distinct:
     return found.select(*keys, *sums, *[F.when(F.col("_of") == a, F.col("_ids")).alias(a) for a in distinct])
 
 
-def _pairs(df: DataFrame, keys: list[str], column: str, alias: str) -> DataFrame:
+def _pairs(df: DataFrame, keys: list[str], column: str, alias: str, few: bool) -> DataFrame:
     """Per group: how many distinct ids there are, from pairs of group and id."""
-    pairs = df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+    pairs = df.where(F.col(column).isNotNull()).select(*keys, column)
+    if few:
+        pairs = pairs.distinct()
+    else:
+        equal = Window.partitionBy(column, *keys).orderBy(column)
+        pairs = pairs.withColumn("_nth", F.row_number().over(equal)).where("_nth = 1")
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(alias))
 
 
@@ -65,7 +71,7 @@ def sums_and_distinct(
     """
     dense = {a: c for a, c in distinct.items() if few and isinstance(df.schema[c].dataType, _WHOLE)}
     parts = [_bitmaps(df, keys, sums, dense) if dense else _totals(df, keys, sums)]
-    parts += [_pairs(df, keys, c, a) for a, c in distinct.items() if a not in dense]
+    parts += [_pairs(df, keys, c, a, few) for a, c in distinct.items() if a not in dense]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     counts = [F.coalesce(F.sum(a), F.lit(0)).cast("bigint").alias(a) for a in distinct]
     return stacked.groupBy(*keys).agg(*[F.sum(a).alias(a) for a in sums], *counts)

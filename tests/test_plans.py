@@ -159,6 +159,16 @@ def test_counts_of_texts_carry_no_amounts(spark, stored):
     assert pairs and not [p for p in pairs if "sum" in p]
 
 
+def test_pairs_of_many_groups_are_sorted_and_not_held(spark, stored):
+    """Products and orders hardly ever meet twice: no hash table holds their pairs, and each is still counted once."""
+    top = breakdown.breakdown_by(stored, "product")
+    assert "order_id" in plan(top) and not re.findall(r"HashAggregate\(keys=\[[^\]]*order_id", plan(top))
+    pairs = [("a", "x"), ("a", "x"), ("a", "y"), ("a", None), ("b", None), (None, "x"), (None, "x"), ("b", "")]
+    df = spark.createDataFrame(pairs, "g string, id string").repartition(3)
+    found = sums_and_distinct(df, ["g"], {"n": F.lit(1)}, {"ids": "id"}, few=False)
+    assert {tuple(r) for r in found.collect()} == {("a", 4, 2), ("b", 2, 1), (None, 2, 1)}
+
+
 def test_bitmaps_count_all_kinds_of_whole_numbers(spark):
     ids = [None, 0, 1, -1, 32767, 32768, 32769, -32767, -32768, 2**62, -(2**62), 7, 7, None]
     df = spark.createDataFrame([(i, "a") for i in ids] + [(None, "b"), (1, None)], "id long, g string")
