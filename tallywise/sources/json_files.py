@@ -39,7 +39,8 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def _is_object(variant: Column) -> Column:
-    return F.startswith(F.schema_of_variant(variant), F.lit("OBJECT"))
+    """Told by the outermost names alone, without a look at the types below; not true of null."""
+    return F.try_variant_get(variant, "$", "map<string,variant>").isNotNull()
 
 
 def _lines(spark: SparkSession, path: str, recursive: bool, glob: str | None) -> DataFrame:
@@ -82,48 +83,54 @@ def _from_lines(lines: DataFrame) -> DataFrame:
 
 
 def _from_whole_files(lines: DataFrame, array_key: str | None) -> DataFrame:
-    """Records of files that are one JSON value: the elements of a list, those of the chosen list, or the object."""
+    """Records of files that are one JSON value: the elements of a list, those of the chosen list, or the object.
+
+    A text is parsed once. Its first character tells a list from an object, and no filter asks for what is
+    parsed: Spark would move it below, and parse for the filter as well.
+    """
     placed = F.array_sort(F.collect_list(F.struct("place", "value")))
     text = F.array_join(F.transform(placed, lambda x: x["value"]), "\n")
-    whole = lines.groupBy("file").agg(text.alias("row"))
+    whole = lines.groupBy("file").agg(text.alias("row")).withColumn("first", F.regexp_extract("row", r"\S", 0))
+    is_object = F.col("first") == "{"
     whole = whole.withColumns(
         {
             "value": F.try_parse_json("row"),
-            "fields": F.from_json("row", "map<string,variant>"),
-            "keys": F.coalesce(F.json_object_keys("row"), F.array().cast("array<string>")),
+            "fields": F.when(is_object, F.from_json("row", "map<string,variant>")),
+            "keys": F.when(is_object, F.json_object_keys("row")),
         }
     )
 
     def holds_records(key: Column) -> Column:
         first = F.try_variant_get(F.col("fields")[key], "$[0]", "variant")
-        return F.coalesce(_is_object(first), F.lit(False))
+        return _is_object(first)
 
     names = F.col("keys") if array_key is None else F.filter("keys", lambda k: k == array_key)
     whole = whole.withColumn("list_key", F.get(F.filter(names, holds_records), F.lit(0)))
-    is_list = F.startswith(F.schema_of_variant("value"), F.lit("ARRAY"))
-    held = F.when(is_list, F.col("value")).otherwise(F.col("fields")[F.col("list_key")])
-    whole = whole.withColumn("held", held).drop("fields", "keys")
-    spark = lines.sparkSession
-    listed = whole.where("held is not null").lateralJoin(spark.tvf.variant_explode(F.col("held").outer()).alias("e"))
-    good = _is_object(F.col("e.value"))
-    listed = listed.select(
+    held = F.when(F.col("first") == "[", F.col("value")).otherwise(F.col("fields")[F.col("list_key")])
+    whole = whole.withColumn("held", held)
+    alone = F.col("held").isNull() & is_object & F.col("value").isNotNull()
+    unread = F.col("held").isNull() & ~alone
+    why = F.when(F.col("value").isNull(), fixed.MALFORMED_REASON).otherwise(fixed.NOT_A_TABLE_DETAIL)
+    # an element travels with these columns, so they are null beside it
+    whole = whole.select(
         "file",
-        F.col("list_key").alias("key"),
-        F.when(good, F.col("e.value")).alias("record"),
-        F.when(~good, F.to_json("e.value")).alias("row"),
-        F.when(~good, F.lit(fixed.NOT_AN_OBJECT_REASON)).alias("reason"),
+        "held",
+        F.when(alone, F.lit("")).otherwise(F.col("list_key")).alias("list_key"),
+        F.when(alone, F.col("value")).alias("alone"),
+        F.when(unread, F.col("row")).alias("unread"),
+        F.when(unread, why).alias("why"),
     )
-    single = whole.where("held is null")
-    is_object = F.coalesce(_is_object(F.col("value")), F.lit(False))
-    reason = F.when(F.col("value").isNull(), fixed.MALFORMED_REASON).otherwise(fixed.NOT_A_TABLE_DETAIL)
-    single = single.select(
+    listed = whole.lateralJoin(lines.sparkSession.tvf.variant_explode_outer(F.col("held").outer()).alias("e"))
+    element = F.col("e.value")
+    good = _is_object(element)
+    stray = element.isNotNull() & ~good
+    return listed.where("e.value is not null or alone is not null or unread is not null").select(
         "file",
-        F.when(is_object, F.lit("")).alias("key"),
-        F.when(is_object, F.col("value")).alias("record"),
-        F.when(~is_object, F.col("row")).alias("row"),
-        F.when(~is_object, reason).alias("reason"),
+        F.col("list_key").alias("key"),
+        F.when(good, element).otherwise(F.col("alone")).alias("record"),
+        F.coalesce("unread", F.when(stray, F.to_json(element))).alias("row"),
+        F.coalesce("why", F.when(stray, F.lit(fixed.NOT_AN_OBJECT_REASON))).alias("reason"),
     )
-    return listed.union(single)
 
 
 def json_records(

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallywise import fixed_values as fixed
 from tallywise.operators.discover import candidate_join_keys, primary_table
 from tallywise.sources import files, json_files
 
@@ -267,3 +269,24 @@ def test_files_without_open_lines_are_shared_by_tasks(spark, tmp_path, rows):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3\n")
     assert [tuple(r.values()) for r in rows(files.read_csv(spark, str(tmp_path / "ragged.csv")))] == [(1, 2), (3, None)]
+
+
+def test_a_whole_file_is_parsed_once_whatever_its_shape(spark, tmp_path):
+    texts = {
+        "list": '\n\t[{"a": 1}, 2, null, "{}", [{}], {"a": {"b": 3}}]', "empty": "[]", "broken list": '[{"a": 1}', "rows": '{"t": 0,\n"of": [{"a": 4}]}',
+        "alone": ' {"a": 5}', "twice": '{"a": 1, "a": 2}', "broken": '{"a": ', "number": "7", "null": "null", "nothing": "{}",
+        "no records": '{"of": [1, 2]}', "rows of empty": '{"of": []}',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    found = json_files.json_records(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(row") == 1
+    shown = found.select(F.regexp_replace("file", ".*/", ""), "key", F.to_json("record"), "row", "reason").collect()
+    malformed, no_table, no_object = fixed.MALFORMED_REASON, fixed.NOT_A_TABLE_DETAIL, fixed.NOT_AN_OBJECT_REASON
+    assert sorted(map(str, map(tuple, shown))) == sorted(map(str, [
+        ("list", None, '{"a":1}', None, None), ("list", None, None, "2", no_object), ("list", None, None, "null", no_object),
+        ("list", None, None, '"{}"', no_object), ("list", None, None, "[{}]", no_object), ("list", None, '{"a":{"b":3}}', None, None), ("broken%20list", None, None, texts["broken list"], malformed),
+        ("rows", "of", '{"a":4}', None, None), ("alone", "", '{"a":5}', None, None), ("twice", None, None, texts["twice"], malformed),
+        ("broken", None, None, texts["broken"], malformed), ("number", None, None, "7", no_table), ("null", None, None, "null", no_table),
+        ("nothing", "", "{}", None, None), ("no%20records", "", '{"of":[1,2]}', None, None), ("rows%20of%20empty", "", '{"of":[]}', None, None),
+    ]))
